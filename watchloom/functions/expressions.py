@@ -37,9 +37,6 @@ def truncate(unit: str, time_col: Column | str) -> Column:
     return F.date_trunc(unit, col).cast("timestamp_ntz")
 
 
-def day_text(time_col: Column | str) -> Column:
-    return F.date_format(time_col, "yyyy-MM-dd")
-
 
 def epoch_seconds(time_col: Column) -> Column:
     """Whole seconds since 1970 of a zone-less UTC timestamp, rounded down."""
@@ -55,10 +52,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, object]], default: object) -> Column:
-    """Value of the first rule whose pattern occurs anywhere in ``text``."""
+    """Value of the first rule one of whose ``|``-separated words occurs in ``text``."""
     chain = F
-    for pattern, value in rules:
-        chain = chain.when(text.rlike(pattern), F.lit(value))
+    for words, value in rules:
+        chain = chain.when(any_phrase(text, words.split("|")), F.lit(value))
     return chain.otherwise(F.lit(default))
 
 
@@ -86,3 +83,14 @@ def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     for phrase in phrases[1:]:
         hit = hit | text.contains(phrase)
     return hit
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out exactly once per row.
+
+    The optimizer copies the expression of an ordinary column into every later
+    use, also into filters; that is ruinous for a parsed document which hundreds
+    of expressions read. A one-element ``inline`` is a boundary it respects.
+    """
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(values)))

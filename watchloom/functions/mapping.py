@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from watchloom.functions import values as V
-from watchloom.functions.expressions import epoch_seconds, first_match, lookup
+from watchloom.functions.expressions import any_phrase, epoch_seconds, first_match, lookup
 
 
 def class_uid(event: Column) -> Column:
@@ -14,7 +14,7 @@ def class_uid(event: Column) -> Column:
 
 
 def type_uid(event: Column) -> Column:
-    login = event.rlike(V.LOGIN_EVENTS)
+    login = any_phrase(event, V.LOGIN_EVENTS)
     return (
         F.when(login & event.contains("success"), F.lit(V.LOGIN_TYPE_UID_SUCCESS))
         .when(login, F.lit(V.LOGIN_TYPE_UID_FAILURE))

@@ -1,7 +1,8 @@
 """Ids, names, word lists, patterns and texts.
 
 Everything here is data that a result must contain, or be matched against,
-literally. Rules are ordered: the first pattern found in the event name wins.
+literally. Rules are ordered: the first one wins any of whose words, separated by
+``|``, is found in the event name.
 """
 
 # --- event mapping (fixed values) -------------------------------------------
@@ -17,7 +18,7 @@ CLASS_UID_RULES = [
 ]
 CLASS_UID_DEFAULT = 2004
 
-LOGIN_EVENTS = "(ssh|web)_login_(success|failure)"
+LOGIN_EVENTS = ["ssh_login_success", "ssh_login_failure", "web_login_success", "web_login_failure"]
 LOGIN_TYPE_UID_SUCCESS = 300201
 LOGIN_TYPE_UID_FAILURE = 300202
 TYPE_UID_RULES = [

@@ -16,7 +16,6 @@ from watchloom.functions import values as V
 from watchloom.functions.expressions import (
     as_datetime,
     before,
-    day_text,
     percent,
     seconds_between,
     since,
@@ -355,7 +354,7 @@ def user_anomaly(
     in_history = since(events, "time_dt", as_of, days=history_days) & before(
         events, "time_dt", as_of, days=1
     )
-    is_today = day_text("time_dt") == today
+    is_today = F.to_date("time_dt") == F.lit(today).cast("date")
     oldest = min(as_datetime(today), as_datetime(as_of) - timedelta(days=history_days))
     daily = (
         events.filter(since(events, "time_dt", oldest))
