@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchloom.functions.expressions import percent
+from watchloom.functions.expressions import bind, percent
 from watchloom.functions import mapping as M
 from watchloom.functions import values as V
 from watchloom.operators import event_rules as R
@@ -37,12 +37,12 @@ def _event_json(spark, sf_dir):
     spoiled = (
         F.when(number % 101 == 0, F.lit("{bad"))
         .when(number % 103 == 0, F.lit("[]"))
-        .when(number % 107 == 0, F.regexp_replace("value", '"severity_id":[0-9]+', '"severity_id":7'))
-        .when(number % 109 == 0, F.regexp_replace("value", '"class_uid":([0-9]+)', '"class_uid":"$1"'))
-        .when(number % 113 == 0, F.regexp_replace("value", '"vendor_name":"Custom",', ""))
-        .otherwise(F.col("value"))
+        .when(number % 107 == 0, F.regexp_replace("_good", '"severity_id":[0-9]+', '"severity_id":7'))
+        .when(number % 109 == 0, F.regexp_replace("_good", '"class_uid":([0-9]+)', '"class_uid":"$1"'))
+        .when(number % 113 == 0, F.regexp_replace("_good", '"vendor_name":"Custom",', ""))
+        .otherwise(F.col("_good"))
     )
-    return good.withColumn("value", spoiled)
+    return bind(good.withColumnRenamed("value", "_good"), value=spoiled).drop("_good")
 
 
 # What the spoiled messages lead to, worked out from the number alone.
@@ -407,7 +407,7 @@ def _sensor_json(spark, sf_dir):
         .when(number % 131 == 0, F.lit('{"dns": {"answers": ["1.1.1.1"]}}'))
         .otherwise(tagged)
     )
-    return G.sensor_conn(spark, sf_dir).select("uid", spoiled.alias("value"))
+    return bind(G.sensor_conn(spark, sf_dir), value=spoiled).select("uid", "value")
 
 
 SENSOR_OUTCOMES = """
