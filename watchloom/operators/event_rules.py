@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions import schemas as S
 from watchloom.functions import values as V
-from watchloom.functions.expressions import bind
+from watchloom.functions.expressions import bind, percent
 from watchloom.operators import variants as J
 
 
@@ -134,21 +134,32 @@ def event_table(judged: DataFrame, class_uid: int, keep: tuple[str, ...] = ()) -
     return rows.select(*keep, *columns)
 
 
-def outcome_totals(judged: DataFrame) -> DataFrame:
-    """Messages per outcome with their share. One row per outcome."""
-    from watchloom.operators.basics import share_of_total
-
-    return share_of_total(judged, ["status"], "messages")
+def outcome_report(judged: DataFrame) -> DataFrame:
+    """Messages per outcome with their share (``part`` total), and successes and skips
+    per log type or class (``part`` kind). Errors have no type and are only part of
+    the totals. The messages are judged once; both parts come from the counts.
+    """
+    counted = judged.groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"))
+    status = F.col("status")
+    parts = F.array(
+        F.struct(F.lit("total").alias("part"), status.alias("name")),
+        F.struct(F.lit("kind").alias("part"), F.when(status != "ERROR", F.col("kind")).alias("name")),
+    )
+    is_kind = F.col("part") == "kind"
 
+    def of(outcome: str) -> Column:
+        return F.sum(F.when(is_kind, F.when(F.col("status") == outcome, F.col("n")).otherwise(0)))
 
-def outcomes_by_kind(judged: DataFrame) -> DataFrame:
-    """Successes and skips per log type or class. Errors have no type and are only
-    part of the totals."""
-    return (
-        judged.filter(F.col("status") != "ERROR")
-        .groupBy("kind")
+    summed = (
+        counted.select("*", F.inline(parts))
+        .filter(F.col("name").isNotNull())
+        .groupBy("part", "name")
         .agg(
-            F.count_if(F.col("status") == "SUCCESS").alias("success"),
-            F.count_if(F.col("status") == "SKIPPED").alias("skipped"),
+            F.sum(F.when(~is_kind, F.col("n"))).alias("messages"),
+            of("SUCCESS").alias("success"),
+            of("SKIPPED").alias("skipped"),
         )
     )
+    # Three rows at most in the part that is divided.
+    total = F.sum("messages").over(Window.partitionBy("part"))
+    return summed.withColumn("percentage", percent(F.col("messages"), total))

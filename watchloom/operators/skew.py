@@ -109,15 +109,22 @@ def with_sliding_count(
     its time plus the window, so the work per row does not depend on how many
     rows a window holds.
     """
-    entering = df.withColumn("_delta", F.when(counted, 1).otherwise(0)).withColumn("_leaves", F.lit(0))
-    leaving = (
-        df.filter(counted)
-        .select(*[c for c in dict.fromkeys(keys)], time_col)
-        .withColumn(time_col, F.col(time_col) + F.make_dt_interval(secs=F.lit(window_seconds)))
-        .withColumn("_delta", F.lit(-1))
-        .withColumn("_leaves", F.lit(1))
+    others = [c for c in df.columns if c not in (*keys, time_col)]
+    moves = F.when(F.col("_counted"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    leaving = F.col("_leaves") == 1
+    later = F.col(time_col) + F.make_dt_interval(secs=F.lit(window_seconds))
+    both = (
+        df.withColumn("_counted", counted)
+        .withColumn("_leaves", F.explode(moves))
+        .select(
+            *keys,
+            F.when(leaving, later).otherwise(F.col(time_col)).alias(time_col),
+            # A leaving row is sent without its other columns.
+            *[F.when(~leaving, F.col(c)).alias(c) for c in others],
+            "_leaves",
+            F.when(leaving, -1).when(F.col("_counted"), 1).otherwise(0).alias("_delta"),
+        )
     )
-    both = entering.unionByName(leaving, allowMissingColumns=True)
     return (
         with_running_total(both, keys, time_col, "_delta", out, ["_leaves"], slice_seconds)
         .filter("_leaves = 0")

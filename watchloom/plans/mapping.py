@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchloom.functions.expressions import bind, percent
+from watchloom.functions.expressions import bind
 from watchloom.functions import mapping as M
 from watchloom.functions import values as V
 from watchloom.operators import event_rules as R
 from watchloom.operators import normalize as N
 from watchloom.operators import sensor as SN
 from watchloom.operators import views as VW
-from watchloom.operators.basics import evolve
-from watchloom.operators.skew import Window
 from watchloom.plans.registry import query
 from watchloom.sinks import tables as K
 from watchloom.session import scratch_path
@@ -238,23 +236,7 @@ union all
 select 'kind', kind, null, null, count(*) filter (status = 'SUCCESS'), count(*) filter (status = 'SKIPPED')
 from o where status <> 'ERROR' group by kind""")
 def _(spark, sf_dir):
-    # One pass over the messages; both reports come from the few counted groups.
-    counted = (
-        R.judge_events(_event_json(spark, sf_dir))
-        .groupBy("status", "kind")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = counted.groupBy("status").agg(F.sum("n").alias("messages"))
-    total = F.sum("messages").over(Window.partitionBy())
-    totals = totals.select(
-        F.lit("total").alias("part"), F.col("status").alias("name"), "messages",
-        percent(F.col("messages"), total).alias("percentage"),
-    )
-    kinds = counted.filter("status <> 'ERROR'").groupBy(F.col("kind").alias("name")).agg(
-        F.coalesce(F.sum(F.when(F.col("status") == "SUCCESS", F.col("n"))), F.lit(0)).alias("success"),
-        F.coalesce(F.sum(F.when(F.col("status") == "SKIPPED", F.col("n"))), F.lit(0)).alias("skipped"),
-    )
-    return evolve(totals, kinds.withColumn("part", F.lit("kind")))
+    return R.outcome_report(R.judge_events(_event_json(spark, sf_dir)))
 
 
 @query("route_tables", f"""

@@ -90,7 +90,9 @@ def vector_rows(df: DataFrame, document: Column | str, **embedding) -> DataFrame
 def write_hourly_json(df: DataFrame, path: str, time_col: str = "ts", type_col: str = "log_type") -> None:
     """JSON files in one folder per log type and hour."""
     hour = F.date_format(truncate("hour", time_col), "yyyy-MM-dd-HH")
-    df.withColumn("hour", hour).write.partitionBy(type_col, "hour").json(path)
+    # Gathers the rows of a folder into few files; a folder with many rows gets several tasks.
+    gathered = df.withColumn("hour", hour).hint("rebalance", type_col, "hour")
+    gathered.write.partitionBy(type_col, "hour").json(path)
 
 
 def finding_report(findings: DataFrame) -> DataFrame:
