@@ -46,7 +46,7 @@ union all select 'authentication', count(*) from security_events where original_
 def _(spark, sf_dir):
     """Tables stored under prefixed names and found again by type and logical name."""
     root = scratch_path(spark, "catalog")
-    locations = {"sensor": catalog.Location(root, "zeek_"), "event": catalog.Location(root, "fluentd_")}
+    locations = {"sensor": catalog.Location(root, "sensor_"), "event": catalog.Location(root, "event_")}
     logins = G.security_events(spark, sf_dir).filter(F.col("original_event_type").rlike("^(ssh|web)_login"))
     stored = {"conn": ("sensor", G.sensor_conn(spark, sf_dir)), "authentication": ("event", logins)}
     counted = None

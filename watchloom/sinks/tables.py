@@ -6,6 +6,9 @@ attempt at the same batch left there, so a replay adds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,19 @@ from watchloom.operators.basics import union_all
 from watchloom.operators.vectors import embed_documents
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[None]:
+    """Holds a frame that is written to several places, unless the caller already does."""
+    if df.is_cached:
+        yield
+        return
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        df.unpersist()
+
+
 def write_batch(df: DataFrame, table_path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
@@ -36,27 +52,21 @@ def route_events(
 ) -> None:
     """One table per event class. The judged batch is kept while it is written out,
     so that rules run once and not once per table."""
-    judged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(judged):
         for class_uid, name in V.STORED_CLASSES.items():
             table = R.event_table(judged, class_uid, keep)
             write_batch(table, f"{root}/{R.table_name(name, prefix)}", batch_id)
-    finally:
-        judged.unpersist()
 
 
 def route_sensor(
     judged: DataFrame, root: str, batch_id: int, prefix: str = "", keep: tuple[str, ...] = ()
 ) -> None:
     """One table per sensor log type."""
-    judged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(judged):
         seen = [r[0] for r in judged.filter("status = 'SUCCESS'").select("kind").distinct().collect()]
         for log_type in seen:  # at most nine
             table = SN.sensor_table(judged, log_type, keep)
             write_batch(table, f"{root}/{clean_name(log_type, prefix)}", batch_id)
-    finally:
-        judged.unpersist()
 
 
 def dead_letters(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

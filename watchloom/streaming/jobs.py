@@ -7,7 +7,6 @@ replaces its own half-written output.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -57,12 +56,9 @@ def ingest_events(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         judged = R.judge_events(batch)
-        judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with K.kept(judged):
             K.route_events(judged, f"{root}/tables", batch_id, keep=keep)
             _store_rest(judged, root, batch_id, vectors, keep)
-        finally:
-            judged.unpersist()
 
     return messages.writeStream.foreachBatch(store)
 
@@ -74,12 +70,9 @@ def ingest_sensor(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         judged = SN.judge_sensor(batch, strict=strict)
-        judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with K.kept(judged):
             K.route_sensor(judged, f"{root}/tables", batch_id, keep=keep)
             _store_rest(judged, root, batch_id, vectors, keep)
-        finally:
-            judged.unpersist()
 
     return messages.writeStream.foreachBatch(store)
 
