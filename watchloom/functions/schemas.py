@@ -177,8 +177,6 @@ SENSOR = {log_type: parse_fields(text) for log_type, text in SENSOR_FIELDS.items
 EVENTS = {uid: parse_fields(text) for uid, text in EVENT_FIELDS.items()}
 OBJECTS = {name: parse_fields(text) for name, text in OBJECT_RULES.items()}
 
-STATUS = "status string, kind string, reason string"
-
 
 def input_name(field: str) -> str:
     """``id_orig_h`` arrives as ``id.orig_h``; other names arrive unchanged."""

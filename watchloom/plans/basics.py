@@ -8,7 +8,6 @@ from watchloom.functions import labels as L
 from watchloom.functions.expressions import before, lookup, since
 from watchloom.functions import values as V
 from watchloom.operators import basics as B
-from watchloom.operators import detections as D
 from watchloom.operators import skew as S
 from watchloom.plans.registry import query
 from watchloom.plans.reports import NOW, THREATS
