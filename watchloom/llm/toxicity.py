@@ -110,7 +110,7 @@ class ToxicityModel:
 
 
 def train(
-    texts: pa.Array, labels: np.ndarray, dim: int = 12, epochs: int = 6, least_steps: int = 240, rate: float = 0.3,
+    texts: pa.Array, labels: np.ndarray, dim: int = 12, epochs: int = 6, least_steps: int = 600, rate: float = 0.3,
     batch: int = 64, seed: int = 7,
 ) -> ToxicityModel:
     """Fits embeddings and softmax weights together by sparse Adagrad on cross-entropy.
