@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import toxicity
+from watchloom.llm import bytebpe, mixing, quality, tokenfiles, toxicity
+from watchloom.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +26,32 @@ def held_out(parts: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == 1
 
 
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bytebpe.encoded(documents, digests).select("doc_id", *digests)
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path)
+    return tokenfiles.read(spark, path, with_ids=False)
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(documents).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(documents, with_text=False).drop("text")
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
