@@ -29,16 +29,22 @@ from watchloom.session import ship_package
 WINDOW = 5  # words
 NGRAMS = (3, 4, 5, 6)  # bytes of "<word>"
 TABLE_BITS = 18
-MAX_LABELLED = 8_000  # labelled rows that the classifier is fitted on, half of them of each class
+MAX_LABELLED = 6_000  # labelled rows that the classifier is fitted on, half of them of each class
 THRESHOLD = 0.7
 
 
-def subwords(words: list[bytes], bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[bytes], bits: int = TABLE_BITS, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Table slots of the n-grams of each word: (slots, starts)."""
+    parts = [_subwords(words[k : k + chunk], bits) for k in range(0, len(words), chunk)]
+    counts = np.concatenate([np.diff(starts) for _, starts in parts])
+    return np.concatenate([slots for slots, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _subwords(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     texts = [b"<" + w + b">" for w in words]
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     chars = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # bytes up to the word's end
     slots, owners = [], []
     for n in NGRAMS:
@@ -47,7 +53,7 @@ def subwords(words: list[bytes], bits: int = TABLE_BITS) -> tuple[np.ndarray, np
         for j in range(n):
             h = h * np.uint64(1_099_511_628_211) + chars[j : j + size] + np.uint64(1)
         ok = left[:size] >= n
-        slots.append((mix(h[ok]) >> np.uint64(64 - bits)).astype(np.int64))
+        slots.append((mix(h[ok]) >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(owner[:size][ok])
     slots, owners = np.concatenate(slots), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -192,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         .orderBy("order", "doc_id").limit(max_labelled)
         .select("text", "toxic").toArrow()
     )
-    texts = rows.column("text").combine_chunks()
+    texts = rows.column("text").cast(pa.large_string()).combine_chunks()
     return train(texts, np.asarray(rows.column("toxic").combine_chunks(), dtype=np.int64))
 
 
@@ -209,7 +215,7 @@ def score(documents: DataFrame, model: ToxicityModel, threshold: float = THRESHO
                            T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 2 << 20):
             values = shared.value.scores(piece.column("text"))
             hit = (values >= threshold).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
