@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,6 @@ from watchloom.llm.words import pieces
 from watchloom.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_MATCHES = 200_000  # of different matches that a task remembers
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,6 +43,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
+
 class Codec:
     """Encoder and decoder over one vocabulary file."""
 
@@ -60,16 +64,6 @@ class Codec:
             tokens[number] = added.get(number) or bytes(alphabet[c] for c in token)
         self.bytes_of = tokens
         self.length_of = np.fromiter(map(len, tokens), dtype=np.int64, count=size)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _numbers(self, matches: list[str]) -> list[np.ndarray]:
-        new = list(dict.fromkeys(m for m in matches if m not in self.known))
-        if len(self.known) + len(new) > CACHED_MATCHES:
-            self.known.clear()
-            new = list(dict.fromkeys(matches))
-        for match, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[match] = np.array(encoded.ids, dtype=np.uint32)
-        return [self.known[m] for m in matches]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, starts): text i has ids[starts[i]:starts[i + 1]]."""
@@ -82,10 +76,11 @@ class Codec:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         coded = pa.array(matches, type=pa.large_string()).dictionary_encode()
         codes = np.asarray(coded.indices, dtype=np.int64)
-        tables = self._numbers(coded.dictionary.to_pylist())
+        tables = [e.ids for e in self.tokenizer.encode_batch_fast(
+            coded.dictionary.to_pylist(), add_special_tokens=False)]
         sizes = np.fromiter(map(len, tables), dtype=np.int64, count=len(tables))
         firsts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(tables)
+        flat = np.fromiter(chain.from_iterable(tables), dtype=np.uint32, count=int(sizes.sum()))
         per_match = sizes[codes]
         ends = np.cumsum(per_match)
         ids = flat[np.arange(ends[-1]) + np.repeat(firsts[codes] - (ends - per_match), per_match)]
