@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, mixing, quality, tokenfiles, toxicity
+from watchloom.llm import bytebpe, hmm, mixing, quality, tokenfiles, toxicity
 from watchloom.session import scratch_path
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def held_out(parts: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == 1
 
 
+@query
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(5))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
