@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, hmm, mixing, quality, tokenfiles, toxicity
+from watchloom.llm import bytebpe, hmm, mixing, quality, tokenfiles, toxicity, vectordup
 from watchloom.session import scratch_path
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path, with_ids=False)
 
 
+@query
+def op7_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.links(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
