@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, hmm, mixing, quality, tokenfiles, toxicity, vectordup
+from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, tokenfiles, toxicity, vectordup
 from watchloom.session import scratch_path
 
 QUERIES = {}
@@ -38,6 +38,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encoded(documents, digests).select("doc_id", *digests)
 
 
+@query
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return setsketch.groups(documents).drop("text_hash")
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
