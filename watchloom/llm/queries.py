@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, tokenfiles, toxicity, vectordup
+from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, substrings, tokenfiles, toxicity, vectordup
 from watchloom.session import scratch_path
 
 QUERIES = {}
@@ -31,6 +31,12 @@ def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(5))
 
 
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(documents, with_text=False).drop("text")
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
