@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.session import scratch_path
-
-
-def _stored(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+from watchloom.llm.stored import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     lost executor costs one round. Few rounds are needed: their number grows
     with the logarithm of the number of nodes.
     """
-    edges = _stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None
     while True:
-        edges = _stored(_small_star(_large_star(edges)), "stars")
+        edges = stored(_small_star(_large_star(edges)), "stars")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == seen:
             break

@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import components
+from watchloom.llm.stored import stored
 from watchloom.llm.words import Words, pieces, run_hashes
-from watchloom.session import scratch_path, ship_package
+from watchloom.session import ship_package
 
 RUN = 5
 PERCENT = 75
@@ -319,17 +320,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _stored(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def groups(documents: DataFrame) -> DataFrame:
     """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept."""
     ship_package(documents.sparkSession)
-    sketches = _stored(sketched(documents), "sketches")
-    classes = _stored(
+    sketches = stored(sketched(documents), "sketches")
+    classes = stored(
         sketches.where("cls is not null").groupBy("cls").agg(
             F.first("n").alias("n"), F.first("regs").alias("regs"), F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "text_hash")).alias("speaker"),
@@ -345,11 +340,11 @@ def groups(documents: DataFrame) -> DataFrame:
             F.col("doc_id").eqNullSafe(F.col("id")) & (texts_of["text_hash"] == speakers["text_hash"]))
         return found.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text"))
 
-    first = _stored(proposed(cells(classes)), "first-pairs")
-    links = _stored(verified(first, _stored(texts(first), "texts")), "first-links")
-    parts = _stored(components(links).select(F.col("node").alias("cls"), F.col("root").alias("part")), "parts")
-    second = _stored(proposed(cells(classes, parts)).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = _stored(verified(second, _stored(texts(second), "more-texts")), "second-links")
+    first = stored(proposed(cells(classes)), "first-pairs")
+    links = stored(verified(first, stored(texts(first), "texts")), "first-links")
+    parts = stored(components(links).select(F.col("node").alias("cls"), F.col("root").alias("part")), "parts")
+    second = stored(proposed(cells(classes, parts)).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    more = stored(verified(second, stored(texts(second), "more-texts")), "second-links")
     roots = components(links.unionAll(more))
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component"))

@@ -34,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from watchloom.llm.components import components
-from watchloom.session import scratch_path, ship_package
+from watchloom.llm.stored import stored
+from watchloom.session import ship_package
 
 THRESHOLD = 0.98
 BANDS = 18
@@ -168,8 +168,7 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
 def links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship_package(spark)
+    ship_package(vectors.sparkSession)
     given = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"),
         F.col(vector).cast("array<double>").alias("vec"),
@@ -179,12 +178,10 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     given = given.withColumn("fine", F.coalesce(fine, F.lit(False)))
     # One class per label and vector; its number is the hash of both, its least id stands for it.
     number = F.xxhash64("label", "vec")
-    path, coded_path, found_path = (scratch_path(spark, n) for n in ("vector-classes", "codes", "vector-links"))
-    (given.where("fine").groupBy(number.alias("cls"), "label", "vec")
-     .agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).write.parquet(path))
-    classes = spark.read.parquet(path)
-    coded(classes).write.parquet(coded_path)
-    codes = spark.read.parquet(coded_path)
+    classes = stored(
+        given.where("fine").groupBy(number.alias("cls"), "label", "vec")
+        .agg(F.count("*").alias("n"), F.min("vec_id").alias("least")), "vector-classes")
+    codes = stored(coded(classes), "codes")
     cells = codes.select("cls", "label", "n", "dim", "vec", "bands", F.posexplode("bands").alias("band", "cell"))
     same = ["band", "cell", "dim", "label"]
     sizes = cells.groupBy(*same).agg(F.count("*").alias("in_cell")).where("in_cell > 1")
@@ -195,8 +192,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     )
-    compare(work, threshold).write.parquet(found_path)
-    found = spark.read.parquet(found_path)
+    found = stored(compare(work, threshold), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_others"))
     # Components by least id: nodes are classes, named by their least id when it is known.
     names = classes.select("cls", "least")
