@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, substrings, tokenfiles, toxicity, vectordup
+from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, substrings, tokenfiles, toxicity, vectordup, wrappers
 from watchloom.session import scratch_path
 
 QUERIES = {}
@@ -57,6 +57,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path, with_ids=False)
 
 
+@query
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.links(table(spark, sf_dir, "embeddings"))
