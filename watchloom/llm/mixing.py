@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 from watchloom.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_SQL = WORD.replace("\\", "\\\\")
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 128
 BIN_BLOCKS = 4096
 LEVELS = 4  # of the tree: 16 shards
 
 
-def sized(documents: DataFrame, seed: int) -> DataFrame:
-    """Written once without texts: a row number, id, source, words and a hash to order by."""
+def sized(documents: DataFrame, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Written once: a row number, id, source, words, a hash to order by, and columns ``carried`` along."""
     spark = documents.sparkSession
     path = scratch_path(spark, "sized")
     documents.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("order"),
+        *(F.col(c).alias(f"given_{c}") for c in carried),
     ).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -155,7 +157,7 @@ def split(quotas: DataFrame, seed: int, levels: int = LEVELS) -> DataFrame:
 
 def mix(sizes: DataFrame, sources: DataFrame, seed: int, block_words: int = BLOCK_WORDS,
         levels: int = LEVELS) -> DataFrame:
-    """One row per block and use: row, doc_id, source_no, block, words, shard, position_key.
+    """One row per block and use: row, doc_id, source_no, block, words, use, shard, position_key.
 
     ``sizes`` and ``sources`` come from ``sized`` and ``targets``.
     """
@@ -210,7 +212,7 @@ def mix(sizes: DataFrame, sources: DataFrame, seed: int, block_words: int = BLOC
     used = used.withColumn("place", place)
     shard = F.expr("cast(size(filter(ends, e -> e <= place)) as bigint)")
     return used.select(
-        "row", "doc_id", "source_no", "block", "words", shard.alias("shard"),
+        "row", "doc_id", "source_no", "block", "words", "use", shard.alias("shard"),
         F.xxhash64(F.lit(seed), "source_no", "place").alias("position_key"),
     )
 
@@ -220,17 +222,22 @@ def laid_out(mixed: DataFrame) -> DataFrame:
     return mixed.repartition("shard").sortWithinPartitions("shard", "position_key")
 
 
-def taken(documents: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5,
-          most: float = 2.0, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> DataFrame:
-    """One row per document: words the mix takes of it, beside its source's size and target."""
-    sizes = sized(documents, seed)
+def _planned(documents: DataFrame, seed: int, weights: tuple[float, ...], total: float, most: float, block_words: int,
+             levels: int, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = sized(documents, seed, carried)
     spark = sizes.sparkSession
     path = scratch_path(spark, "sources")
     targets(sizes, weights, total, most, block_words).coalesce(1).write.parquet(path)
     sources = spark.read.parquet(path)
-    per_row = mix(sizes, sources, seed, block_words, levels).groupBy("row").agg(
-        F.sum("words").alias("taken"), F.collect_set("shard").alias("shards")
-    )
+    narrow = sizes.select("row", "doc_id", "source", "size", "order")
+    return sizes, sources, mix(narrow, sources, seed, block_words, levels)
+
+
+def taken(documents: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5,
+          most: float = 2.0, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> DataFrame:
+    """One row per document: words the mix takes of it, beside its source's size and target."""
+    sizes, sources, mixed = _planned(documents, seed, weights, total, most, block_words, levels)
+    per_row = mixed.groupBy("row").agg(F.sum("words").alias("taken"), F.collect_set("shard").alias("shards"))
     named = sources.select(F.col("source").alias("s"), "source_size", "target")
     return (
         sizes.join(named, F.col("source").eqNullSafe(F.col("s"))).join(per_row, "row", "left")
@@ -238,3 +245,23 @@ def taken(documents: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEI
                 F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
                 F.coalesce(F.array_sort("shards"), F.array().cast("array<bigint>")).alias("shards"))
     )
+
+
+def mixed_texts(documents: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5,
+                most: float = 2.0, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> DataFrame:
+    """The mix as documents, in the columns of the input: one row per document and use.
+
+    A use that takes all blocks has the text as it is; else the text holds the
+    words of the blocks taken, in order. Rows are shuffled among themselves.
+    """
+    columns = documents.columns
+    sizes, _, mixed = _planned(documents, seed, weights, total, most, block_words, levels, tuple(columns))
+    uses = mixed.groupBy("row", "use").agg(
+        F.sort_array(F.collect_set("block")).alias("blocks"), F.sum("words").alias("words"),
+        F.min("shard").alias("shard"), F.min("position_key").alias("position_key"))
+    joined = sizes.join(uses, "row")
+    cut = F.expr(f"""array_join(flatten(transform(array(regexp_extract_all(given_text, '{WORD_SQL}', 0)),
+      w -> flatten(transform(blocks, b -> slice(w, int(b * {block_words} + 1), {block_words}))))), ' ')""")
+    text = F.when(F.col("words") == F.col("size"), F.col("given_text")).otherwise(cut)
+    return joined.sortWithinPartitions("shard", "position_key").select(
+        *(text.alias(c) if c == "text" else F.col(f"given_{c}").alias(c) for c in columns))

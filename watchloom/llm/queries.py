@@ -47,7 +47,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return setsketch.groups(documents).drop("text_hash")
+    return setsketch.groups(documents).drop("text_hash", "group")
 
 
 @query

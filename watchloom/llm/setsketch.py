@@ -321,7 +321,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def groups(documents: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept."""
+    """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, group.
+
+    ``group`` numbers the components; it is null for an empty set.
+    """
     ship_package(documents.sparkSession)
     sketches = stored(sketched(documents), "sketches")
     classes = stored(
@@ -349,10 +352,21 @@ def groups(documents: DataFrame) -> DataFrame:
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component"))
     of_class = classes.select("cls", "least").join(
-        roots.join(least, "root").select(F.col("node").alias("cls"), "component"), "cls", "left"
-    ).select("cls", F.coalesce("component", "least").alias("component"))
+        roots.join(least, "root").select(F.col("node").alias("cls"), "root", "component"), "cls", "left"
+    ).select("cls", F.coalesce("component", "least").alias("component"), F.coalesce("root", "cls").alias("group"))
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return sketches.select("doc_id", "text_hash", "n", "cls").join(of_class, "cls", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "group",
     )
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """One document of each group, the one of least id, and all documents without words. Columns are as given."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    best = groups(documents).where("group is not null").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
+    chosen = best.select(F.xxhash64("best.doc_id", "best.text_hash").alias("row"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = documents.where(wordy).withColumn("row", row).join(chosen, "row", "left_semi").dropDuplicates(["row"])
+    return kept.drop("row").unionAll(documents.where(~wordy))
