@@ -3,24 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from watchloom.llm import toxicity
+from watchloom.llm import bytebpe, mixing, setsketch, substrings, toxicity
 from watchloom.session import scratch_path
 
-ORACLE_SQL = None  # the stages' models and tokenizers are beyond SQL
+ORACLE_SQL = None  # models, sketches and tokenizers are beyond SQL
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the toxicity model predicts as toxic."""
+    """Rejects documents that the toxicity model, fitted on the labels of what is left, predicts as toxic."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return setsketch.deduplicated(docs.select(*COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document has; a document of which no word is left goes.
+
+    A document that loses nothing keeps its text as it is.
+    """
+    cut = substrings.dedup(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _measured(cut.withColumn("text", text))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents, up to twice, until their sources have their target weights."""
+    return _measured(mixing.mixed_texts(docs.select(*COLUMNS)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids with offsets' digests; the texts themselves are in the ids."""
+    outputs = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bytebpe.encoded(docs.select(*COLUMNS), outputs).select("doc_id", "lang", "source", "n_chars", *outputs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
