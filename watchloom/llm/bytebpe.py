@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding with offsets, and decoding that copes with split characters.
 
-Each match of the split pattern is encoded on its own by the tokenizers library.
-A batch holds far fewer different matches than matches, so the library sees each
-different one once and the ids are laid out by table lookup. Vocabulary tokens
-are written in a character alphabet in which every byte has a character of its
-own; decoding maps these characters back to bytes. A character may be split over
+Each match of the split pattern is encoded on its own by the tokenizers library's
+model, over characters: every byte has a character of its own in the alphabet
+of the vocabulary. A batch holds far fewer different matches than matches, so each
+different one is encoded once and the ids are laid out by table lookup.
+Decoding maps the characters back to bytes. A character may be split over
 several tokens, so ids decode to bytes, and offsets count bytes and characters:
 a token that ends inside a character ends, in characters, before it.
 
@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +27,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from watchloom.llm.words import pieces
 from watchloom.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
+KNOWN_MATCHES = 300_000  # that a task remembers from one batch to the next
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,27 +43,46 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-
-
 class Codec:
     """Encoder and decoder over one vocabulary file."""
 
     def __init__(self, path: str, pattern: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # A match comes in whole: the library maps its bytes to the alphabet but does not split it.
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
         alphabet = byte_alphabet()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.to_alphabet = str.maketrans({chr(b): c for c, b in alphabet.items()})
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
         size = max([*vocabulary.values(), *added]) + 1
         tokens = [b""] * size
         for token, number in vocabulary.items():
             tokens[number] = added.get(number) or bytes(alphabet[c] for c in token)
         self.bytes_of = tokens
         self.length_of = np.fromiter(map(len, tokens), dtype=np.int64, count=size)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.firsts, self.sizes = array("I"), array("q"), array("q")
+
+    def match_ids(self, match: str) -> list[int]:
+        """Ids of one match, by way of its bytes' characters."""
+        return [t.id for t in self.tokenize(match.encode().decode("latin-1").translate(self.to_alphabet))]
+
+    def _numbers(self, matches: list[str]) -> np.ndarray:
+        """Place of each match in the tables of what is known."""
+        known, out = self.known, []
+        for match in matches:
+            number = known.get(match)
+            if number is None:
+                ids = self.match_ids(match)
+                number = known[match] = len(known)
+                self.firsts.append(len(self.flat))
+                self.sizes.append(len(ids))
+                self.flat.extend(ids)
+            out.append(number)
+        return np.array(out, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, starts): text i has ids[starts[i]:starts[i + 1]]."""
@@ -74,18 +93,14 @@ class Codec:
             matches.extend(found)
         if not matches:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        if len(self.known) > KNOWN_MATCHES:
+            self._forget()
         coded = pa.array(matches, type=pa.large_string()).dictionary_encode()
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        tables = [e.ids for e in self.tokenizer.encode_batch_fast(
-            coded.dictionary.to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, tables), dtype=np.int64, count=len(tables))
-        firsts = np.cumsum(sizes) - sizes
-        flat = np.fromiter(chain.from_iterable(tables), dtype=np.uint32, count=int(sizes.sum()))
-        per_match = sizes[codes]
-        ends = np.cumsum(per_match)
-        ids = flat[np.arange(ends[-1]) + np.repeat(firsts[codes] - (ends - per_match), per_match)]
-        match_starts = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.concatenate([[0], ends])[match_starts]
+        places = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        firsts, sizes = np.array(self.firsts, dtype=np.int64)[places], np.array(self.sizes, dtype=np.int64)[places]
+        ends = np.cumsum(sizes)
+        ids = np.array(self.flat, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(firsts - (ends - sizes), sizes)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens; characters that tokens split come together again."""

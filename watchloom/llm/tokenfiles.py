@@ -52,18 +52,19 @@ BLOCKS = T.StructType([
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranked ids, control stream, rank bytes) of a block of ids."""
-    distinct, rank, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
-    place = np.empty(len(order), dtype=np.uint32)
+    count = np.bincount(ids)
+    distinct = np.flatnonzero(count)
+    order = distinct[np.lexsort((distinct, -count[distinct]))]
+    place = np.zeros(len(count), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = place[rank] if len(ids) else np.zeros(0, np.uint32)
+    ranks = place[ids]
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     pad = -len(ranks) % 4
     bits = np.concatenate([size - 1, np.zeros(pad, np.uint8)]).astype(np.uint8).reshape(-1, 4)
     control = bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) < size[:, None]]
-    return distinct[order].astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
+    return order.astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(ranked_ids: bytes, control: bytes, data: bytes, count: int) -> np.ndarray:
