@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, substrings, tokenfiles, toxicity, vectordup, wrappers
+from watchloom.llm.oracles import ORACLES  # noqa: F401
 from watchloom.session import scratch_path
 
 QUERIES = {}
-ORACLES = {}
 
 
 def query(fn):
