@@ -65,39 +65,54 @@ def test_sliding_count(frame, rows, window):
     assert got == want
 
 
-def test_distinct_items_keep_everything(spark):
+def test_a_hot_group_has_one_row_and_no_list(spark, sf_dir):
+    from watchloom.sources import given as G
+
     rows = [("hot", f"f{i % 300:03d}") for i in range(3000)] + [("cold", "a"), ("cold", "b"), ("cold", "a")]
-    df = spark.createDataFrame(rows, "k string, f string")
-    found = S.distinct_items(df, ["k"], "f", "files", "n", shares=8, max_items=100).collect()
-    hot = [r for r in found if r["k"] == "hot"]
-    assert len(hot) > 1 and {r["n"] for r in hot} == {3000}
-    assert sorted(f for r in hot for f in r["files"]) == sorted({f for k, f in rows if k == "hot"})
-    (cold,) = [r for r in found if r["k"] == "cold"]
-    assert (cold["files"], cold["n"], cold["part"]) == (["a", "b"], 3, 0)
+    ftp = spark.createDataFrame(rows, "id_orig_h string, arg string").selectExpr(
+        "*", "timestamp_ntz'2024-01-01 05:10:00' as ts", "'s' as id_resp_h", "'STOR' as command")
+    busy = {r["source_ip"]: (r["transfer_count"], r["file_count"])
+            for r in R.ftp_activity(ftp, "2024-01-01 06:00:00", more_than=2).collect()}
+    assert busy == {"hot": (3000, 300), "cold": (3, 2)}
+    files = R.ftp_files(ftp, "2024-01-01 06:00:00", more_than=2)
+    assert files.filter("source_ip = 'hot'").count() == 300 and files.filter("source_ip = 'cold'").count() == 2
+    events = G.security_events(spark, sf_dir)
+    steps = R.attack_steps(events, G.LAST_INSTANT, hours=720)
+    for frame in (files, steps, D.triage_targets(events)):
+        plan = frame._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "collect_set" not in plan
 
 
-def test_timeline_parts_make_up_the_whole(spark, sf_dir):
+def test_steps_are_in_order(spark, sf_dir):
     from watchloom.sources import given as G
 
     events = G.security_events(spark, sf_dir)
-    whole = R.attack_timeline(events, G.LAST_INSTANT, hours=720).collect()
-    cut = R.attack_timeline(events, G.LAST_INSTANT, hours=720, max_events=2, slice_seconds=3600).collect()
-    assert len(cut) > len(whole)
-    parts = {}
-    for r in sorted(cut, key=lambda r: r["part"]):
-        parts.setdefault((r["src_ip"], r["dst_ip"], r["user_name"]), []).append(r["attack_sequence"])
-    assert {k: ", ".join(v) for k, v in parts.items()} == {
-        (r["src_ip"], r["dst_ip"], r["user_name"]): r["attack_sequence"] for r in whole
-    }
+    sessions = {tuple(r[:3]): r["events_in_session"] for r in R.attack_timeline(events, G.LAST_INSTANT, hours=720).collect()}
+    steps = {}
+    for r in R.attack_steps(events, G.LAST_INSTANT, hours=720).collect():
+        steps.setdefault(tuple(r[:3]), []).append((r["position"], r["time_dt"]))
+    assert {k: len(v) for k, v in steps.items()} == sessions
+    for rows in steps.values():
+        rows.sort()
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1))
+        assert [t for _, t in rows] == sorted(t for _, t in rows)
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 5000, 9999, 20000])
 def test_keep_newest(spark, n):
     df = spark.range(0, 50000, 5).select((F.col("id") * 7 - 1000).alias("id"))
-    kept = [r[0] for r in B.keep_newest(df, "id", n, small=0, fan=16).collect()]
+    kept = [r[0] for r in B.keep_newest(df, "id", n, ranges=16).collect()]
     assert sorted(kept, reverse=True) == sorted((7 * i - 1000 for i in range(0, 50000, 5)), reverse=True)[:n]
 
 
+def test_keep_newest_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(5,), (5,), (5,), (1,), (None,), (None,)], "id bigint")
+    for n, want in [(2, [5, 5]), (4, [1, 5, 5, 5]), (5, [1, 5, 5, 5, None]), (9, [1, 5, 5, 5, None, None])]:
+        got = [r[0] for r in B.keep_newest(df, "id", n).collect()]
+        assert sorted(got, key=lambda v: (v is None, v)) == want
+    assert B.keep_newest(df.limit(0), "id", 3).collect() == []
+
+
 def test_full_outer_with_repeats_and_nulls(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "x int, l string")
     right = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r"), (None, "s")], "y int, r string")
@@ -107,15 +122,15 @@ def test_full_outer_with_repeats_and_nulls(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("block_bytes", [64, 1 << 20])
-def test_knn(spark, metric, block_bytes):
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_knn(spark, metric, rows):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(200, 4)).astype("float32")
     data[50] = data[10]  # equal distances
     df = spark.createDataFrame(
         [(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>"
     ).repartition(7)
-    found = VX.knn_join(df.filter("vec_id < 9"), df, 6, metric, block_bytes=block_bytes)
+    found = VX.knn_join(df.filter("vec_id < 9"), df, 6, metric, query_rows=rows, block_rows=rows)
     got = {(r["query_id"], r["rank"]): r["match_id"] for r in found.collect()}
     exact = data.astype("float64")
     want = {}

@@ -46,10 +46,10 @@ def event_gaps(events: DataFrame, tie: str = "event_id") -> DataFrame:
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
-    """Count and percentage per group. The total is one value, read as a scalar
-    subquery, so the number of groups may be large."""
+    """Count and percentage per group. The total is one value, summed from the groups'
+    counts, so the rows are scanned once and the number of groups may be large."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counts.agg(F.sum(out).alias("total")).scalar()
     return counts.withColumn("percentage", percent(F.col(out), total))
 
 
@@ -75,38 +75,32 @@ def oldest(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.asc(order)).limit(n)
 
 
-def keep_newest(df: DataFrame, order: str, n: int, small: int = 10_000, fan: int = 1024) -> DataFrame:
-    """The ``n`` rows with the highest ``order`` number (unique, integral).
+def keep_newest(df: DataFrame, order: str, n: int, ranges: int = 1 << 20) -> DataFrame:
+    """The ``n`` rows with the highest ``order`` number (integral; null counts as lowest).
 
-    Few rows are a plain top-n. Beyond that a top-n would pull them into one
-    task, so the cut-off is searched with counts per range: each pass counts at
-    most ``fan`` ranges and goes on inside the one the cut-off lies in. The
-    result is a filter on ``order``, which reaches the scan.
+    Rows are counted in ``ranges`` even ranges of ``order``; from the top, the range
+    that the cut-off lies in is found on these counts. Rows above it are kept by a
+    filter, and only the rows of that one range are ranked.
     """
     if n <= 0:
         return df.limit(0)
-    if n <= small:
-        return last_overall(df, [order], n)
-    bounds = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    low, high, rows = bounds
-    if rows <= n:
-        return df
-    wanted = n
-    while low < high:
-        width = -(-(high - low + 1) // fan)
-        counted = (
-            df.filter(F.col(order).between(low, high))
-            .groupBy(F.expr(f"(`{order}` - {low}L) div {width}L").alias("range"))
-            .count()
-            .orderBy(F.desc("range"))
-            .collect()
-        )
-        for part, count in counted:
-            if count >= wanted:
-                low, high = low + part * width, min(high, low + (part + 1) * width - 1)
-                break
-            wanted -= count
-    return df.filter(F.col(order) >= low)
+    value = F.col(order).cast("decimal(38,0)")
+    low, high = (df.agg(f(order).cast("decimal(38,0)").alias("v")).scalar() for f in (F.min, F.max))
+    position = F.floor((value - low) * F.lit(ranges) / (high - low + F.lit(1))).cast("bigint")
+    placed = df.withColumn("_range", F.coalesce(position, F.lit(-1).cast("bigint")))
+    from_top = Window.orderBy(F.desc("_range"))  # over one row per range
+    counted = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_through", F.sum("_n").over(from_top)
+    )
+    cut = counted.filter(F.col("_through") >= n)
+    edge = F.coalesce(cut.agg(F.max("_range").alias("r")).scalar(), F.lit(-2).cast("bigint"))
+    wanted = cut.agg(F.max_by(F.lit(n) - (F.col("_through") - F.col("_n")), "_range").alias("w")).scalar()
+    above = placed.filter(F.col("_range") > edge)
+    ranked = placed.filter(F.col("_range") == edge).withColumn(
+        "_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(order)))
+    )
+    within = ranked.filter(F.col("_rank") <= wanted).drop("_rank")
+    return above.unionByName(within).drop("_range")
 
 
 def random_record(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -136,28 +130,22 @@ def display_rows(df: DataFrame, n: int = 5):
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
-    """FULL OUTER JOIN as matched + left only + right only.
+    """FULL OUTER JOIN as a left outer join and what only the right side has.
 
-    Adaptive execution splits a hot key of an inner or anti join over several
-    tasks, which it cannot do for a full outer join. The unmatched sides are
-    tested against distinct keys.
+    Adaptive execution splits a hot key of a left outer join over several tasks,
+    which it cannot do for a full outer join. The right side is tested against
+    distinct keys.
     """
 
     def condition(a: DataFrame, b: DataFrame, pairs) -> Column:
         return reduce(lambda x, y: x & y, [a[x] == b[y] for x, y in pairs])
 
     left_keys = left.select(*[F.col(l).alias(f"_k{i}") for i, (l, _) in enumerate(on)]).distinct()
-    right_keys = right.select(*[F.col(r).alias(f"_k{i}") for i, (_, r) in enumerate(on)]).distinct()
-    matched = left.join(right, condition(left, right, on))
-    left_only = left.join(
-        right_keys, condition(left, right_keys, [(l, f"_k{i}") for i, (l, _) in enumerate(on)]), "left_anti"
-    )
+    kept = left.join(right, condition(left, right, on), "left_outer")
     right_only = right.join(
         left_keys, condition(right, left_keys, [(r, f"_k{i}") for i, (_, r) in enumerate(on)]), "left_anti"
     )
-    return matched.unionByName(left_only, allowMissingColumns=True).unionByName(
-        right_only, allowMissingColumns=True
-    )
+    return kept.unionByName(right_only, allowMissingColumns=True)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from watchloom.functions import labels as L
 from watchloom.functions import values as V
 from watchloom.functions.expressions import any_phrase, first_match, lookup, since, truncate
-from watchloom.operators.skew import DEFAULT_SLICE_SECONDS, distinct_items, with_sliding_count
+from watchloom.operators.skew import DEFAULT_SLICE_SECONDS, with_sliding_count
 
 EVENT = "original_event_type"
 
@@ -166,12 +166,18 @@ PRIORITY_RANKS = [
 PRIORITIES = {4: "critical", 3: "high", 2: "medium", 1: "low"}
 
 
-def triage_findings(events: DataFrame, max_targets: int = 10_000) -> DataFrame:
-    """One prioritised finding per source.
+def triage_targets(events: DataFrame) -> DataFrame:
+    """The targets of each source's finding: one row per source and target."""
+    return events.groupBy(F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("target_host")).agg(
+        F.count(F.lit(1)).alias("events")
+    )
+
+
+def triage_findings(events: DataFrame) -> DataFrame:
+    """One prioritised finding per source; its targets are in ``triage_targets``.
 
     The confidence is a formula of this library (share of the deciding events,
-    between 0.5 and 1.0), not a learned score. A source with more than
-    ``max_targets`` targets keeps them all, in several rows numbered by ``part``.
+    between 0.5 and 1.0), not a learned score.
     """
     rank = first_match(F.col(EVENT), PRIORITY_RANKS, 1)
     service = L.service_label(L.event_port(F.col(EVENT)))
@@ -212,15 +218,14 @@ def triage_findings(events: DataFrame, max_targets: int = 10_000) -> DataFrame:
             F.round(F.lit(0.5) + F.lit(0.5) * F.col("deciding") / F.col("event_count"), 4),
         )
     )
-    targets = distinct_items(
-        events.select("src_ip", "dst_ip"), ["src_ip"], "dst_ip", "target_hosts", "_n",
-        max_items=max_targets,
-    ).drop("_n")
+    targets = (
+        events.select("src_ip", "dst_ip").distinct().groupBy("src_ip").agg(F.count("dst_ip").alias("target_count"))
+    )
     return finding.join(targets, "src_ip").select(
         "priority",
         "threat_type",
         F.col("src_ip").alias("source_ip"),
-        "target_hosts",
+        "target_count",
         F.concat_ws(
             " ", F.col("deciding").cast("string"), F.lit("x"), F.col("threat_type")
         ).alias("attack_pattern"),
@@ -233,7 +238,6 @@ def triage_findings(events: DataFrame, max_targets: int = 10_000) -> DataFrame:
             F.upper("priority"), F.lit(": "), F.col("threat_type"), F.lit(" from "), F.col("src_ip"),
             F.lit(", "), F.col("event_count").cast("string"), F.lit(" events"),
         ).alias("brief_summary"),
-        "part",
     )
 
 

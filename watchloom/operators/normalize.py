@@ -9,7 +9,7 @@ from watchloom.functions import mapping as M
 from watchloom.functions import values as V
 from watchloom.functions.expressions import bind
 
-_MARK = "\x01"
+_MARK = "\n"  # the captured parts hold no line end
 PARSED = ["event_time", "event", "user", "src_ip", "dst_ip"]
 
 

@@ -22,7 +22,7 @@ from watchloom.functions.expressions import (
     sorted_text,
     truncate,
 )
-from watchloom.operators.skew import distinct_items
+from watchloom.operators.skew import with_keys, with_running_total
 
 EVENT = "original_event_type"
 AsOf = str | datetime
@@ -123,32 +123,42 @@ def protocol_violations(
     )
 
 
-def ftp_activity(
-    ftp: DataFrame, as_of: AsOf, hours: float = 24, more_than: int = 10, max_files: int = 10_000
-) -> DataFrame:
-    """Transfers per hour, client, server and command, with the files touched.
+FTP_KEYS = ["time_bucket", "source_ip", "ftp_server", "command"]
 
-    A group with more than ``max_files`` files has several rows, told apart by
-    ``part``; each of them carries a share of the list and the whole count.
-    """
-    transfers = ftp.filter(
-        since(ftp, "ts", as_of, hours=hours) & F.col("command").isin("STOR", "RETR")
-    ).select(
+
+def _transfers(ftp: DataFrame, as_of: AsOf, hours: float) -> DataFrame:
+    return ftp.filter(since(ftp, "ts", as_of, hours=hours) & F.col("command").isin("STOR", "RETR")).select(
         truncate("hour", "ts").alias("time_bucket"),
         F.col("id_orig_h").alias("source_ip"),
         F.col("id_resp_h").alias("ftp_server"),
         "command",
-        "arg",
+        F.col("arg").alias("file"),
     )
-    keys = ["time_bucket", "source_ip", "ftp_server", "command"]
+
+
+def ftp_activity(ftp: DataFrame, as_of: AsOf, hours: float = 24, more_than: int = 10) -> DataFrame:
+    """Transfers and different files per hour, client, server and command."""
+    per_file = _transfers(ftp, as_of, hours).groupBy(*FTP_KEYS, "file").agg(F.count(F.lit(1)).alias("n"))
     return (
-        distinct_items(transfers, keys, "arg", "files", "transfer_count", max_items=max_files)
+        per_file.groupBy(*FTP_KEYS)
+        .agg(F.sum("n").alias("transfer_count"), F.count("file").alias("file_count"))
         .filter(F.col("transfer_count") > more_than)
-        .withColumn("files", F.array_join("files", ", "))
-        .orderBy(F.desc("transfer_count"), *keys, "part")
+        .orderBy(F.desc("transfer_count"), *FTP_KEYS)
     )
 
 
+def ftp_files(ftp: DataFrame, as_of: AsOf, hours: float = 24, more_than: int = 10) -> DataFrame:
+    """The files of the groups of ``ftp_activity``: one row per group and file.
+
+    A group's list would grow with the group; its rows do not.
+    """
+    per_file = _transfers(ftp, as_of, hours).groupBy(*FTP_KEYS, "file").agg(
+        F.count(F.lit(1)).alias("file_transfers")
+    )
+    busy = ftp_activity(ftp, as_of, hours, more_than).select(*FTP_KEYS)
+    return with_keys(per_file, busy, FTP_KEYS).filter(F.col("file").isNotNull())
+
+
 def attack_origins(
     events: DataFrame, as_of: AsOf, days: float = 7, more_than: int = 10
 ) -> DataFrame:
@@ -235,62 +245,42 @@ def conn_anomalies(
     )
 
 
-def attack_timeline(
-    events: DataFrame,
-    as_of: AsOf,
-    hours: float = 24,
-    more_than: int = 3,
-    tie: str = "event_id",
-    slice_seconds: int = 60,
-    max_events: int = 100_000,
-) -> DataFrame:
-    """Ordered event sequence per source, target and user.
+TIMELINE_KEYS = ["src_ip", "dst_ip", "user_name"]
 
-    Sequences are put together from time slices. Up to ``max_events`` a group is
-    one row; a longer one keeps one row per slice, in the order of ``part``, and
-    every row repeats start, end and count of the whole group.
-    """
-    keys = ["src_ip", "dst_ip", "user_name"]
-    relevant = _events_of(events, V.TIMELINE_EVENTS, as_of, hours=hours)
-    in_order = F.array_sort(F.collect_list(F.struct("time_dt", tie, EVENT)))
-    slices = relevant.groupBy(
-        *keys, F.window("time_dt", f"{slice_seconds} seconds").start.alias("_slice")
-    ).agg(
-        F.array_join(F.transform(in_order, lambda e: e[EVENT]), ", ").alias("_text"),
-        F.min("time_dt").alias("_start"),
-        F.max("time_dt").alias("_end"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    group = Window.partitionBy(*keys)
-    position = F.row_number().over(group.orderBy("_slice")) - 1
+
+def attack_timeline(events: DataFrame, as_of: AsOf, hours: float = 24, more_than: int = 3) -> DataFrame:
+    """Start, end and number of attack events per source, target and user."""
     return (
-        slices.select(
-            *keys, "_slice", "_text",
-            F.min("_start").over(group).alias("session_start"),
-            F.max("_end").over(group).alias("session_end"),
-            F.sum("_n").over(group).alias("events_in_session"),
-            position.alias("_position"),
-        )
-        .filter(F.col("events_in_session") > more_than)
-        .withColumn(
-            "part", F.when(F.col("events_in_session") <= max_events, 0).otherwise(F.col("_position"))
-        )
-        .groupBy(*keys, "part", "session_start", "session_end", "events_in_session")
+        _events_of(events, V.TIMELINE_EVENTS, as_of, hours=hours)
+        .groupBy(*TIMELINE_KEYS)
         .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("_slice", "_text"))), lambda s: s["_text"]
-                ),
-                ", ",
-            ).alias("attack_sequence")
+            F.min("time_dt").alias("session_start"),
+            F.max("time_dt").alias("session_end"),
+            F.count(F.lit(1)).alias("events_in_session"),
         )
+        .filter(F.col("events_in_session") > more_than)
         .withColumn(
             "session_duration_seconds", seconds_between(F.col("session_start"), F.col("session_end"))
         )
-        .orderBy("session_start", *keys, "part")
+        .orderBy("session_start", *TIMELINE_KEYS)
     )
 
 
+def attack_steps(
+    events: DataFrame, as_of: AsOf, hours: float = 24, more_than: int = 3, tie: str = "event_id"
+) -> DataFrame:
+    """The events of ``attack_timeline`` in order: one row per event with its position.
+
+    Positions are counted per time slice and carried over, so that a hot group is
+    spread over tasks and no row holds a sequence.
+    """
+    sessions = attack_timeline(events, as_of, hours, more_than).select(*TIMELINE_KEYS)
+    relevant = _events_of(events, V.TIMELINE_EVENTS, as_of, hours=hours)
+    chosen = with_keys(relevant, sessions, TIMELINE_KEYS).withColumn("_one", F.lit(1))
+    numbered = with_running_total(chosen, TIMELINE_KEYS, "time_dt", "_one", "position", [tie])
+    return numbered.select(*TIMELINE_KEYS, "position", "time_dt", EVENT)
+
+
 def threat_feed(
     events: DataFrame, as_of: AsOf, hours: float = 1, limit: int = 100, tie: str = "event_id"
 ) -> DataFrame:

@@ -8,6 +8,7 @@ one small row per slice is brought together per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,32 +133,12 @@ def with_sliding_count(
     )
 
 
-def distinct_items(
-    df: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    out: str,
-    rows_out: str,
-    shares: int = 64,
-    max_items: int = 10_000,
-) -> DataFrame:
-    """Row count and sorted distinct items per key.
+def with_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are in ``groups``; null keys match each other.
 
-    Up to ``max_items`` the items of a key are in one row (``part`` 0). A key with
-    more has one row per hash share, numbered by ``part``: all items are there,
-    but no cell grows with the key. ``rows_out`` always counts the whole key.
+    A plain inner join on one side with distinct keys, which adaptive execution
+    splits when a key is hot.
     """
-    once = df.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("_rows"))
-    shared = (
-        once.withColumn("_share", F.pmod(F.xxhash64(item), F.lit(shares)).cast("int"))
-        .groupBy(*keys, "_share")
-        .agg(F.collect_list(item).alias("_items"), F.sum("_rows").alias("_rows"))
-    )
-    whole_key = Window.partitionBy(*keys)
-    return (
-        shared.withColumn(rows_out, F.sum("_rows").over(whole_key))
-        .withColumn("_distinct", F.sum(F.size("_items")).over(whole_key))
-        .withColumn("part", F.when(F.col("_distinct") <= max_items, 0).otherwise(F.col("_share")))
-        .groupBy(*keys, "part", rows_out)
-        .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias(out))
-    )
+    wanted = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(wanted[f"_k{i}"]) for i, k in enumerate(keys)])
+    return df.join(wanted, same).drop(*wanted.columns)

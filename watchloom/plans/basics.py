@@ -156,7 +156,7 @@ def _(spark, sf_dir):
 select event_id, time_dt, src_ip from security_events order by event_id desc limit 700""")
 def _(spark, sf_dir):
     events = G.security_events(spark, sf_dir).select("event_id", "time_dt", "src_ip")
-    return B.keep_newest(events, "event_id", 700, small=100)
+    return B.keep_newest(events, "event_id", 700)
 
 
 @query("oldest_n", "select vec_id, label from embeddings order by vec_id limit 10")
@@ -180,17 +180,12 @@ def _(spark, sf_dir):
 
 
 @query("order_multi", """
-with g as (select user_name, count(*) as n, max(event_id) as latest from security_events group by 1)
-select user_name, n, latest, row_number() over (order by n desc, latest) as position from g
-order by n desc, latest limit 100""")
+select user_name, count(*) as n, max(event_id) as latest from security_events group by 1 order by n desc, latest""")
 def _(spark, sf_dir):
     grouped = G.security_events(spark, sf_dir).groupBy("user_name").agg(
         F.count(F.lit(1)).alias("n"), F.max("event_id").alias("latest")
     )
-    top = grouped.orderBy(F.desc("n"), F.asc("latest")).limit(100)
-    # The position is numbered on the 100 rows of the report.
-    order = S.Window.orderBy(F.desc("n"), F.asc("latest"))
-    return top.withColumn("position", F.row_number().over(order).cast("bigint"))
+    return grouped.orderBy(F.desc("n"), F.asc("latest"))
 
 
 @query("limit_n_display", """

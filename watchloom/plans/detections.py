@@ -124,27 +124,32 @@ f as (select t.src_ip, top.r, sum(n)::bigint as event_count, min(first_at) as ti
   from t join top on t.src_ip = top.src_ip group by 1, 2)
 select case f.r when 4 then 'critical' when 3 then 'high' when 2 then 'medium' else 'low' end as priority,
   replace(lead.e, '_', ' ') as threat_type, f.src_ip as source_ip,
-  (select string_agg(distinct dst_ip, ', ' order by dst_ip) from security_events s where s.src_ip = f.src_ip) as target_hosts,
+  (select count(distinct dst_ip) from security_events s where s.src_ip = f.src_ip) as target_count,
   concat(deciding, ' x ', replace(lead.e, '_', ' ')) as attack_pattern, time_start, time_end, indicators,
   round(0.5 + 0.5 * deciding / event_count, 4) as confidence_score, event_count, affected_services,
-  concat(upper(priority), ': ', threat_type, ' from ', f.src_ip, ', ', event_count, ' events') as brief_summary,
-  cast(0 as int) as part
+  concat(upper(priority), ': ', threat_type, ' from ', f.src_ip, ', ', event_count, ' events') as brief_summary
 from f join lead on lead.src_ip = f.src_ip and lead.k = 1""")
 def _(spark, sf_dir):
     found = D.triage_findings(G.security_events(spark, sf_dir))
     return found.select(
         "priority", "threat_type", "source_ip",
-        sorted_text(F.col("target_hosts")).alias("target_hosts"),
+        "target_count",
         "attack_pattern",
         F.col("timeline.start").alias("time_start"),
         F.col("timeline.end").alias("time_end"),
         sorted_text(F.col("indicators")).alias("indicators"),
         "confidence_score", "event_count",
         sorted_text(F.col("affected_services")).alias("affected_services"),
-        "brief_summary", "part",
+        "brief_summary",
     )
 
 
+@query("triage_targets", """
+select src_ip as source_ip, dst_ip as target_host, count(*) as events from security_events group by 1, 2""")
+def _(spark, sf_dir):
+    return D.triage_targets(G.security_events(spark, sf_dir))
+
+
 @query("tag_documents", """
 select doc_id, if(contains(lower(document), 'brute force'), 'credential attacks',
     if(contains(lower(document), 'data exfiltration'), 'data exfiltration', '')) as indicators,

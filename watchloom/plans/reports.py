@@ -96,17 +96,29 @@ def _(spark, sf_dir):
     return R.protocol_violations(G.sensor_analyzer(spark, sf_dir), SENSOR_NOW, hours=24 * 90)
 
 
-@query("ftp_activity", """
+BUSY_FTP = """
 select date_trunc('hour', ts) as time_bucket, id_orig_h as source_ip, id_resp_h as ftp_server, command,
-  count(*) as transfer_count, string_agg(distinct arg, ', ' order by arg) as files,
-  cast(0 as int) as part
+  count(*) as transfer_count, count(distinct arg) as file_count
 from sensor_ftp
 where ts >= timestamp '1995-01-01 00:00:00' and command in ('STOR', 'RETR')
-group by 1, 2, 3, 4 having count(*) > 1""")
+group by 1, 2, 3, 4 having count(*) > 1"""
+
+
+@query("ftp_activity", BUSY_FTP)
 def _(spark, sf_dir):
     return R.ftp_activity(G.sensor_ftp(spark, sf_dir), SENSOR_NOW, hours=24 * 2500, more_than=1)
 
 
+@query("ftp_files", f"""
+with b as ({BUSY_FTP})
+select b.time_bucket, b.source_ip, b.ftp_server, b.command, f.arg as file, count(*) as file_transfers
+from b join sensor_ftp f on b.time_bucket = date_trunc('hour', f.ts) and b.source_ip = f.id_orig_h
+  and b.ftp_server = f.id_resp_h and b.command = f.command
+where f.ts >= timestamp '1995-01-01 00:00:00' group by all""")
+def _(spark, sf_dir):
+    return R.ftp_files(G.sensor_ftp(spark, sf_dir), SENSOR_NOW, hours=24 * 2500, more_than=1)
+
+
 @query("attack_origins", """
 select src_ip, count(*) as total_attacks, count(distinct dst_ip) as targets_hit,
   string_agg(distinct original_event_type, ', ' order by original_event_type) as attack_types,
@@ -152,20 +164,29 @@ def _(spark, sf_dir):
     return found.withColumn("avg_duration", F.round("avg_duration", 4))
 
 
-@query("attack_timeline", """
-select src_ip, dst_ip, user_name,
-  string_agg(original_event_type, ', ' order by time_dt, event_id) as attack_sequence,
-  min(time_dt) as session_start, max(time_dt) as session_end, count(*) as events_in_session,
-  (epoch_us(max(time_dt)) - epoch_us(min(time_dt))) / 1e6 as session_duration_seconds,
-  cast(0 as int) as part
-from security_events
+TIMELINE = """
+select src_ip, dst_ip, user_name, time_dt, event_id, original_event_type from security_events
 where time_dt >= timestamp '2024-01-24 00:00:00' and original_event_type in ('ssh_login_failure',
-  'rdp_login_failure', 'brute_force_attack', 'rdp_brute_force', 'ssh_login_success', 'rdp_login_success')
-group by 1, 2, 3 having count(*) > 3""")
+  'rdp_login_failure', 'brute_force_attack', 'rdp_brute_force', 'ssh_login_success', 'rdp_login_success')"""
+
+
+@query("attack_timeline", f"""
+select src_ip, dst_ip, user_name, min(time_dt) as session_start, max(time_dt) as session_end,
+  count(*) as events_in_session,
+  (epoch_us(max(time_dt)) - epoch_us(min(time_dt))) / 1e6 as session_duration_seconds
+from ({TIMELINE}) group by 1, 2, 3 having count(*) > 3""")
 def _(spark, sf_dir):
     return R.attack_timeline(G.security_events(spark, sf_dir), NOW, hours=24 * 7)
 
 
+@query("attack_steps", f"""
+with t as (select *, count(*) over g as n, row_number() over (g order by time_dt, event_id) as position
+  from ({TIMELINE}) window g as (partition by src_ip, dst_ip, user_name))
+select src_ip, dst_ip, user_name, position, time_dt, original_event_type from t where n > 3""")
+def _(spark, sf_dir):
+    return R.attack_steps(G.security_events(spark, sf_dir), NOW, hours=24 * 7)
+
+
 @query("threat_feed", f"""
 select time_dt, src_ip as "Source IP", dst_ip as "Target IP", user_name as "User",
   original_event_type as "Attack Type",
