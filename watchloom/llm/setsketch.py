@@ -14,9 +14,10 @@ maximum, and equal registers are as likely as the sets are similar.
    greatest likelihood. Pairs estimated below ``CUT`` (four standard deviations
    under the threshold) are dropped.
 4. A maximum spanning forest over the estimates of a cell goes to verification
-   on the full sets; pairs between parts that stay apart are then verified too,
-   all of them. So copies are never expanded into all pairs, and no link between
-   different parts is lost.
+   on the full sets. Cells that still hold different parts are then compared
+   whole, on the full sets, inside the tasks. Either way a unit of work sends a
+   forest of links, so copies are never expanded into all pairs, and no link
+   between different parts is lost.
 5. Verified links are joined to components.
 
 A cell of over ``BLOCK`` classes is cut into blocks, and each pair of blocks is
@@ -53,6 +54,7 @@ BASE = 1.001
 RATE = 20.0
 CUT = 0.60
 BLOCK = 1024
+ELEMENTS = 4096  # of an incidence matrix at once
 
 
 def shingles(texts: pa.Array) -> list[np.ndarray]:
@@ -162,16 +164,41 @@ def forest(regs: np.ndarray, n: np.ndarray, side: np.ndarray | None) -> list[tup
     return found
 
 
-def apart(regs: np.ndarray, n: np.ndarray, part: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """All pairs estimated as close whose parts differ."""
-    found = []
-    for k in range(len(n) - 1):
-        others = np.arange(k + 1, len(n))
-        others = others[part[others] != part[k]]
-        if side is not None:
-            others = others[side[others] != side[k]]
-        if len(others):
-            found += [(k, int(o)) for o in others[close(regs, n, k, others) > 0]]
+def linked(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different parts, from the full sets.
+
+    Intersections of all pairs come from products of incidence matrices, some
+    elements at a time; an element of one set alone is in no intersection.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    owner, element = owner[shared], np.unique(element[shared], return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    count = int(element[-1]) + 1 if len(element) else 0
+    for start in range(0, count, ELEMENTS):
+        a, b = np.searchsorted(element, [start, start + ELEMENTS])
+        some = np.zeros((n, min(ELEMENTS, count - start)), dtype=np.float32)
+        some[owner[a:b], element[a:b] - start] = 1
+        common += some @ some.T
+    link = 100 * common >= PERCENT * (sizes[:, None] + sizes - common)
+    link &= part[:, None] != part
+    if side is not None:
+        link &= side[:, None] != side
+    found, left = [], np.ones(n, dtype=bool)
+    for first in range(n):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(link[k] & left)
+            left[new] = False
+            found += [(k, int(x)) for x in new]
+            todo += new.tolist()
     return found
 
 
@@ -192,8 +219,11 @@ def sketched(documents: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, text_hash long, n long, cls long, regs binary")
 
 
+UNIT = ["band", "cell", "one", "two"]
+
+
 def cells(classes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """Members of cells with two classes or more, once per unit of work, units in one piece and order.
+    """(band, cell, one, two, block, cls, part): members of cells with two classes or more, once per unit of work.
 
     With ``parts`` (cls, part), only cells that hold more than one part.
     """
@@ -215,94 +245,126 @@ def cells(classes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     )
     part = F.lit(None).cast("long") if parts is None else F.col("part")
-    unit = ["band", "cell", "one", "two"]
-    return (
-        members.join(classes.select("cls", "n", "regs"), "cls")
-        .select(*unit, "block", "cls", part.alias("part"), "n", "regs")
-        .repartition(*unit).sortWithinPartitions(*unit, "cls")
-    )
+    return members.select(*UNIT, "block", "cls", part.alias("part"))
+
+
+def in_units(members: DataFrame, details: DataFrame) -> DataFrame:
+    """Joins ``details`` by class and brings units together, each in one piece."""
+    return members.join(details, "cls").repartition(*UNIT).sortWithinPartitions(*UNIT, "cls")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole units out of sorted batches, with each unit's first row and size."""
+
+    def bounded(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        change = np.zeros(table.num_rows, dtype=bool)
+        change[0] = True
+        for name in UNIT:
+            codes = np.asarray(table.column(name).combine_chunks().dictionary_encode().indices)
+            change[1:] |= codes[1:] != codes[:-1]
+        firsts = np.flatnonzero(change)
+        return table, firsts, np.diff(np.append(firsts, table.num_rows))
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = table.slice(table.num_rows - 1).to_pylist()[0]
+        same = np.ones(table.num_rows, dtype=bool)
+        for name in UNIT:
+            value = pa.scalar(last[name], table.schema.field(name).type)
+            same &= np.asarray(pc.equal(table.column(name), value).combine_chunks())
+        done = int(np.argmax(same))  # rows of the last unit stay, it may go on in the next batch
+        held = table.slice(done)
+        if done:
+            yield bounded(table.slice(0, done))
+    if held is not None:
+        yield bounded(held)
+
+
+def column_of(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks(), dtype=np.int64)
+
+
+def side_of(table: pa.Table) -> np.ndarray | None:
+    """Block of each row of a unit of two blocks."""
+    two_sided = table.column("one")[0].as_py() != table.column("two")[0].as_py()
+    return column_of(table, "block") if two_sided else None
+
+
+def pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    rows = sorted(pairs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
 def proposed(units: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes to verify, a < b."""
+    """Distinct pairs (a, b) of classes to verify, a < b: a forest per unit."""
+
+    def registers_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
 
     def pairs_of(table: pa.Table) -> np.ndarray:
-        cls = np.asarray(table.column("cls").combine_chunks(), dtype=np.int64)
-        n = np.asarray(table.column("n").combine_chunks(), dtype=np.int64)
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-        two_sided = table.column("one")[0].as_py() != table.column("two")[0].as_py()
-        side = np.asarray(table.column("block").combine_chunks()) if two_sided else None
-        if table.column("part").null_count:
-            found = forest(regs, n, side)
-        else:
-            found = apart(regs, n, np.asarray(table.column("part").combine_chunks(), dtype=np.int64), side)
-        return cls[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        found = forest(registers_of(table.column("regs")), column_of(table, "n"), side_of(table))
+        return column_of(table, "cls")[np.array(found, dtype=np.int64).reshape(-1, 2)]
 
     def twos(table: pa.Table, firsts: np.ndarray) -> np.ndarray:
         """Units of two members, all at once."""
         if not len(firsts):
             return np.zeros((0, 2), np.int64)
-        cls = np.asarray(table.column("cls").combine_chunks(), dtype=np.int64)
-        n = np.asarray(table.column("n").combine_chunks(), dtype=np.int64)
+        cls, n = column_of(table, "cls"), column_of(table, "n")
         flat = table.column("regs").combine_chunks()
-        one = np.frombuffer(b"".join(flat.take(pa.array(firsts)).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-        two = np.frombuffer(b"".join(flat.take(pa.array(firsts + 1)).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+        one, two = registers_of(flat.take(pa.array(firsts))), registers_of(flat.take(pa.array(firsts + 1)))
         a, b = n[firsts], n[firsts + 1]
         good = np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT
         good[good] = likeliest(one[good], two[good], a[good], b[good]) >= CUT
-        if table.column("part").null_count == 0:
-            part = np.asarray(table.column("part").combine_chunks(), dtype=np.int64)
-            good &= part[firsts] != part[firsts + 1]
         return np.stack([cls[firsts], cls[firsts + 1]], axis=1)[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # the same pair in several cells; forgotten when it grows
-
-        def answer(found: np.ndarray) -> pa.RecordBatch:
-            nonlocal seen
-            if len(seen) > 500_000:
-                seen = set()
-            new = {(min(p), max(p)) for p in found.tolist()} - seen
-            seen |= new
-            rows = sorted(new)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
-
-        held: pa.Table | None = None
-
-        def settle(table: pa.Table) -> np.ndarray:
-            change = np.zeros(table.num_rows, dtype=bool)
-            change[0] = True
-            for name in ("band", "cell", "one", "two"):
-                codes = np.asarray(table.column(name).combine_chunks().dictionary_encode().indices)
-                change[1:] |= codes[1:] != codes[:-1]
-            firsts = np.flatnonzero(change)
-            sizes = np.diff(np.append(firsts, table.num_rows))
+        for table, firsts, sizes in whole_units(batches):
             found = [twos(table, firsts[sizes == 2])]
             for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 found.append(pairs_of(table.slice(first, size)))
-            return np.concatenate(found)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            last = table.slice(table.num_rows - 1).to_pylist()[0]
-            same = np.ones(table.num_rows, dtype=bool)
-            for name in ("band", "cell", "one", "two"):
-                value = pa.scalar(last[name], table.schema.field(name).type)
-                same &= np.asarray(pc.equal(table.column(name), value).combine_chunks())
-            done = int(np.argmax(same))  # rows of the last unit stay, it may go on in the next batch
-            held = table.slice(done)
-            if done:
-                yield answer(settle(table.slice(0, done)))
-        if held is not None:
-            yield answer(settle(held))
+            if len(seen) > 500_000:
+                seen = set()
+            new = {(min(p), max(p)) for p in np.concatenate(found).tolist()} - seen
+            seen |= new
+            yield pair_batch(new)
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
+def remaining(units: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different parts, from full sets (column ``elements``): a forest per unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts, sizes in whole_units(batches):
+            found: set[tuple[int, int]] = set()
+            for first, size in zip(firsts.tolist(), sizes.tolist()):
+                unit = table.slice(first, size)
+                sets = [np.frombuffer(e, dtype=np.uint64) for e in unit.column("elements").to_pylist()]
+                cls = column_of(unit, "cls").tolist()
+                for a, b in linked(sets, column_of(unit, "part"), side_of(unit)):
+                    found.add((min(cls[a], cls[b]), max(cls[a], cls[b])))
+            yield pair_batch(found)
 
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """(cls, elements): the full set of each text's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            sets = [s.tobytes() for s in shingles(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays([piece.column("cls"), pa.array(sets, pa.binary())], ["cls", "elements"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, elements binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full sets, from ``texts`` (cls, text), are similar enough."""
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -334,20 +396,22 @@ def groups(documents: DataFrame) -> DataFrame:
         ), "classes")
     texts_of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        """The text of one member of each class in ``pairs``."""
-        wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
-        speakers = classes.join(wanted, "cls", "left_semi").select("cls", "speaker.doc_id", "speaker.text_hash")
+    def texts(wanted: DataFrame) -> DataFrame:
+        """The text of one member of each class."""
+        speakers = classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "speaker.doc_id", "speaker.text_hash")
         found = texts_of.join(
             speakers.withColumnRenamed("doc_id", "id"),
             F.col("doc_id").eqNullSafe(F.col("id")) & (texts_of["text_hash"] == speakers["text_hash"]))
         return found.select("cls", "text").groupBy("cls").agg(F.first("text").alias("text"))
 
-    first = stored(proposed(cells(classes)), "first-pairs")
-    links = stored(verified(first, stored(texts(first), "texts")), "first-links")
+    registers_and_sizes = classes.select("cls", "n", "regs")
+    first = stored(proposed(in_units(cells(classes), registers_and_sizes)), "first-pairs")
+    asked = first.select(F.col("a").alias("cls")).unionAll(first.select("b"))
+    links = stored(verified(first, stored(texts(asked), "texts")), "first-links")
     parts = stored(components(links).select(F.col("node").alias("cls"), F.col("root").alias("part")), "parts")
-    second = stored(proposed(cells(classes, parts)).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = stored(verified(second, stored(texts(second), "more-texts")), "second-links")
+    open_cells = stored(cells(classes, parts), "open-cells")
+    sets = stored(elements(texts(open_cells.select("cls"))), "sets")
+    more = stored(remaining(in_units(open_cells, sets)), "more-links")
     roots = components(links.unionAll(more))
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component"))
