@@ -30,12 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watchloom.llm.stored import stored
 from watchloom.llm.words import Words, pieces
-from watchloom.session import scratch_path, ship_package
+from watchloom.session import ship_package
 
 STATES = 8
 ROUNDS = 5
@@ -332,16 +333,12 @@ def class_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(documents: DataFrame, held_out: Column, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """Trains on rows of ``documents`` (doc_id, text) that are not held out and scores all of them."""
-    spark: SparkSession = documents.sparkSession
-    ship_package(spark)
+    ship_package(documents.sparkSession)
     given = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                              held_out.alias("held_out"), "text")
-    counts_path, rows_path = scratch_path(spark, "word-counts"), scratch_path(spark, "sequences")
-    word_counts(given.where(~F.col("held_out"))).write.parquet(counts_path)
-    counts = spark.read.parquet(counts_path)
+    counts = stored(word_counts(given.where(~F.col("held_out"))), "word-counts")
     known = lexicon(counts)
-    sequences(given, known).write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
+    rows = stored(sequences(given, known), "sequences")
     learned = rows.where(~F.col("held_out"))
     model = first_model(known.class_counts, states)
     for _ in range(rounds):

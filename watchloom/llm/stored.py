@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 
 from watchloom.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Writes a step and reads it back, so that a lost executor costs no more than one step.
 
-    The shuffle files of the step are of no use once it is written. Spark removes
-    them when the driver collects its garbage, which is asked for here.
+    The shuffle files of the step are of no use once it is written; Spark is told
+    to remove them at its end.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    del frame
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)

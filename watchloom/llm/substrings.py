@@ -127,13 +127,18 @@ def fragments(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     size = len(hashes) - window + 1
     if size <= 0:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    # The place, modulo 16, in the low bits: a minimum over a window tells where it is.
     runs = run_hashes(hashes, anchor)
-    least, place = runs[:size].copy(), np.arange(size)
-    for j in range(1, window - anchor + 1):
-        other = runs[j : j + size]
-        lower = other < least
-        least[lower] = other[lower]
-        place[lower] = np.flatnonzero(lower) + j
+    places = np.arange(len(runs), dtype=np.uint64)
+    least = (runs & ~np.uint64(15)) | (places & np.uint64(15))
+    width, span = 1, window - anchor + 1
+    while 2 * width <= span:
+        least = np.minimum(least[: len(least) - width], least[width:])
+        width *= 2
+    least = np.minimum(least[:size], least[span - width : span - width + size])
+    places = places[:size]
+    place = places + ((least - places) & np.uint64(15))
+    least >>= np.uint64(4)
     ends = np.repeat(words.starts[1:], words.counts)[:size]
     at = np.flatnonzero(np.arange(size) + window <= ends)
     if not len(at):

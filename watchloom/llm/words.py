@@ -84,13 +84,8 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive words, also across texts; shorter than ``hashes`` by n - 1."""
     size = max(0, len(hashes) - n + 1)
     out = np.zeros(size, dtype=np.uint64)
+    factor = 1
     for j in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + size] + np.uint64(j + 1))
-    return out
-
-
-def inside(starts: np.ndarray, n: int, total: int) -> np.ndarray:
-    """Which of the runs of ``n`` words lie in one text."""
-    size = max(0, total - n + 1)
-    ends = np.repeat(starts[1:], np.diff(starts))
-    return np.arange(size) + n <= ends[:size]
+        factor = factor * 0x9E3779B97F4A7C15 % 2**64  # odd, so each place counts in a way of its own
+        out += hashes[j : j + size] * np.uint64(factor)
+    return mix(out)
