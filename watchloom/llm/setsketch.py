@@ -253,13 +253,13 @@ def in_units(members: DataFrame, details: DataFrame) -> DataFrame:
     return members.join(details, "cls").repartition(*UNIT).sortWithinPartitions(*UNIT, "cls")
 
 
-def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def whole_units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Tables of whole units out of sorted batches, with each unit's first row and size."""
 
     def bounded(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         change = np.zeros(table.num_rows, dtype=bool)
         change[0] = True
-        for name in UNIT:
+        for name in keys:
             codes = np.asarray(table.column(name).combine_chunks().dictionary_encode().indices)
             change[1:] |= codes[1:] != codes[:-1]
         firsts = np.flatnonzero(change)
@@ -273,7 +273,7 @@ def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
         table = table if held is None else pa.concat_tables([held, table])
         last = table.slice(table.num_rows - 1).to_pylist()[0]
         same = np.ones(table.num_rows, dtype=bool)
-        for name in UNIT:
+        for name in keys:
             value = pa.scalar(last[name], table.schema.field(name).type)
             same &= np.asarray(pc.equal(table.column(name), value).combine_chunks())
         done = int(np.argmax(same))  # rows of the last unit stay, it may go on in the next batch
@@ -324,7 +324,7 @@ def proposed(units: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # the same pair in several cells; forgotten when it grows
-        for table, firsts, sizes in whole_units(batches):
+        for table, firsts, sizes in whole_units(batches, UNIT):
             found = [twos(table, firsts[sizes == 2])]
             for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 found.append(pairs_of(table.slice(first, size)))
@@ -341,7 +341,7 @@ def remaining(units: DataFrame) -> DataFrame:
     """Verified links (a, b) between different parts, from full sets (column ``elements``): a forest per unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, firsts, sizes in whole_units(batches):
+        for table, firsts, sizes in whole_units(batches, UNIT):
             found: set[tuple[int, int]] = set()
             for first, size in zip(firsts.tolist(), sizes.tolist()):
                 unit = table.slice(first, size)

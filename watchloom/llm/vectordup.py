@@ -11,7 +11,7 @@ are recomputed exactly, in double precision.
 
 Candidates are pairs that agree in all bits of a band of the code. With
 ``BANDS`` bands of ``BAND_BITS`` bits a pair at cosine 0.98 is missed with
-probability (1 - (1 - acos(0.98) / pi) ** 14) ** 18, about 0.01 %. Pairs are
+probability (1 - (1 - acos(0.98) / pi) ** 16) ** 16, about 0.1 %. Pairs are
 compared within a task but never sent: a task sends, per class, how many rows
 it found linked, and a spanning forest of the links it saw. A pair is counted
 in the first band it agrees in. A band cell of over ``BLOCK`` classes is cut
@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import components
+from watchloom.llm.setsketch import column_of, whole_units
 from watchloom.llm.stored import stored
 from watchloom.session import ship_package
 
 THRESHOLD = 0.98
-BANDS = 18
-BAND_BITS = 14
+BANDS = 16
+BAND_BITS = 16
 WIDE = 4.0
 BLOCK = 1024
 
@@ -121,6 +122,23 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[int]:
     return kept
 
 
+KEYS = ["band", "cell", "dim", "label", "left", "right"]
+
+
+def maybe_close(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of two matrices whose cosine may reach the threshold by the code of either side."""
+    dimension = one.shape[1]
+    first = rotations(dimension)[:dimension]
+    turned = one @ first.T, two @ first.T
+    fits = np.zeros(len(one), dtype=bool)
+    for x, y in (turned, turned[::-1]):
+        factor = np.abs(x).sum(axis=1) / np.sqrt(dimension)
+        estimate = (np.where(x > 0, y, -y)).sum(axis=1) / np.sqrt(dimension) / factor
+        spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * WIDE / np.sqrt(max(dimension - 1, 1))
+        fits |= estimate + spread >= threshold
+    return fits
+
+
 def compare(cells: DataFrame, threshold: float) -> DataFrame:
     """Compares the classes of each unit of work: rows (a, b, n).
 
@@ -128,15 +146,9 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
     linked classes of the spanning forest.
     """
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        band, _, dim, _, left, right = (k.as_py() for k in key)
-        cls = np.asarray(table.column("cls").combine_chunks(), dtype=np.int64)
-        count = np.asarray(table.column("n").combine_chunks(), dtype=np.int64)
-        side = np.asarray(table.column("block").combine_chunks(), dtype=np.int64)
-        units = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float64).reshape(-1, dim)
-        bands = np.stack(table.column("bands").to_pylist())
+    def pairs_of(units: np.ndarray, side: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.flatnonzero(side == left), np.flatnonzero(side == right)
-        turn, hits = rotations(dim), []
+        turn, hits = rotations(units.shape[1]), []
         for k in range(0, len(a), 128):
             some = a[k : k + 128]
             maybe = bounds(units[b], turn, units[some]) >= threshold
@@ -147,22 +159,50 @@ def compare(cells: DataFrame, threshold: float) -> DataFrame:
             sure = maybe[np.ix_(here, there)] & (units[some[here]] @ units[b[there]].T >= threshold)
             r, c = np.nonzero(sure)
             hits.append((some[here[r]], b[there[c]]))
-        rows, columns = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+        return tuple(np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, np.int64) for i in (0, 1))
+
+    def of_length(table: pa.Table, firsts: np.ndarray, sizes: np.ndarray, dim: int) -> list[pa.RecordBatch]:
+        """Units of vectors of one length."""
+        cls, count, band = (column_of(table, c) for c in ("cls", "n", "band"))
+        units = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float64).reshape(-1, dim)
+        bands = np.stack(table.column("bands").to_pylist())
+        side, left, right = (column_of(table, c) for c in ("block", "left", "right"))
+        twos = firsts[sizes == 2]
+        twos = twos[(side[twos] != side[twos + 1]) == (left[twos] != right[twos])]
+        twos = twos[maybe_close(units[twos], units[twos + 1], threshold)]
+        twos = twos[np.einsum("ij,ij->i", units[twos], units[twos + 1]) >= threshold]
+        rows, columns = [twos], [twos + 1]
+        for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            s = slice(first, first + size)
+            r, c = pairs_of(units[s], side[s], left[first], right[first])
+            rows.append(r + first)
+            columns.append(c + first)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
         # Agreed in an earlier band: counted there.
-        first = (bands[rows, :band] == bands[columns, :band]).any(axis=1) if band else np.zeros(len(rows), bool)
-        rows, columns = rows[~first], columns[~first]
+        earlier = (bands[rows] == bands[columns]) & (np.arange(BANDS) < band[rows][:, None])
+        once = ~earlier.any(axis=1)
+        rows, columns = rows[once], columns[once]
         links = np.bincount(rows, count[columns], minlength=len(cls)) + np.bincount(columns, count[rows], minlength=len(cls))
         hit = np.flatnonzero(links)
         tree = _forest(rows, columns)
-        one, two = cls[rows[tree]], cls[columns[tree]]
-        return pa.table({
-            "a": pa.array(np.concatenate([cls[hit], one])),
-            "b": pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(two)]),
-            "n": pa.concat_arrays([pa.array(links[hit].astype(np.int64)), pa.nulls(len(tree), pa.int64())]),
-        })
-
-    key = ["band", "cell", "dim", "label", "left", "right"]
-    return cells.groupBy(*key).applyInArrow(run, "a long, b long, n long")
+        return [pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([cls[hit], cls[rows[tree]]])),
+            pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(cls[columns[tree]])]),
+            pa.concat_arrays([pa.array(links[hit].astype(np.int64)), pa.nulls(len(tree), pa.int64())]),
+        ], ["a", "b", "n"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts, sizes in whole_units(batches, KEYS):
+            length = column_of(table, "dim")
+            for dim in np.unique(length).tolist():
+                mine = length == dim
+                at = np.cumsum(mine) - 1  # place of a row among those of its length
+                chosen = mine[firsts]
+                yield from of_length(table.filter(pa.array(mine)), at[firsts[chosen]], sizes[chosen], dim)
+
+    ordered = cells.repartition(*KEYS).sortWithinPartitions(*KEYS, "cls")
+    columns = [*KEYS, "block", "cls", "n", "vec", "bands"]
+    return ordered.select(*columns).mapInArrow(run, "a long, b long, n long")
 
 
 def links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
