@@ -20,6 +20,11 @@ SENSOR = [
     ("", "ERROR", "unknown", True),
     (None, "ERROR", "unknown", True),
     ('{"conn": {"uid": "a"', "ERROR", "conn", True),
+    ('{"conn": {"uid": "a"}} garbage', "ERROR", "conn", True),
+    ('{"conn": {"uid": "a"}}{"x": 1}', "ERROR", "conn", True),
+    ('{"conn": {"uid": "a"}}, {"x": 1}', "ERROR", "conn", True),
+    ('{"conn": {"ts": "86400"}}', "SUCCESS", "conn", True),
+    ('{"conn": {"ts": "12:30"}}', "SKIPPED", "conn", True),
     ("[]", "SKIPPED", "unknown", True),
     ("null", "SKIPPED", "unknown", True),
     ("{}", "SKIPPED", "unknown", True),
@@ -62,6 +67,31 @@ def test_sensor_outcomes(spark, strict):
     assert got == {c[0]: (c[1], c[2]) for c in cases}
 
 
+def test_digits_are_seconds(spark):
+    texts = ['{"conn": {"ts": "%s"}}' % t for t in ("86400", "2024", "2024-01-01")]
+    table = SN.sensor_table(SN.judge_sensor(messages(spark, texts)), "conn")
+    assert sorted(r[0] for r in table.select(F.col("ts").cast("string")).collect()) == [
+        "1970-01-01 00:33:44", "1970-01-02 00:00:00", "2024-01-01 00:00:00"]
+
+
+def test_latest_findings_keep_all_keys(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1, "user_name": "u"}'), (2, "{}"), (3, "{} x"), (4, None)], "i int, raw_data string")
+    found = VW.latest_findings(rows.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as time_dt"), tie="i")
+    got = {r["i"]: json.loads(r["finding"]) for r in found.collect()}
+    when = "2024-01-01T00:00:00.000000"
+    assert got[1] == {"a": 1, "user_name": "u", "time_dt": when} and got[2] == {"time_dt": when}
+    assert got[3] == {"raw_data": "{} x", "parse_error": "Not a valid JSON string"}
+    assert got[4] == {"parse_error": "Not a valid JSON string"}
+
+
+def test_parts_of_a_line_hold_what_they_hold(spark):
+    from watchloom.operators import normalize as N
+
+    line = "2024-01-01 00:00:00.5 event=e user=u\x01evil src_ip=1.1.1.1 dst_ip=2.2.2.2 more"
+    row = N.parse_log_lines(messages(spark, [line])).first()
+    assert (row["user"], row["src_ip"], row["dst_ip"]) == ("u\x01evil", "1.1.1.1", "2.2.2.2")
+
+
 def test_sensor_values(spark):
     text = json.dumps(
         {"conn": {"ts": "2024-01-01T01:00:00+01:00", "id.orig_p": "80", "duration": "1.5", "local_orig": 1,
@@ -104,6 +134,11 @@ EVENTS = [
     (finding(metadata={"product": {}}), "SKIPPED", "Detection Finding", "invalid: metadata"),
     (finding(message=["a"]), "SKIPPED", "Detection Finding", "invalid: message"),
     (finding(count="many"), "SKIPPED", "Detection Finding", "invalid: count"),
+    (finding(remediation={"desc": "d", "kb_article_list": [
+        {"title": "x", "uid": "u", "severity": "s", "os": {"name": "n", "type_id": 1}}]}), "SUCCESS", "Detection Finding", None),
+    (finding() + " garbage", "ERROR", "Detection Finding", "invalid JSON"),
+    (finding() + '{"x": 1}', "ERROR", "Detection Finding", "invalid JSON"),
+    (finding() + ', {"x": 1}', "ERROR", "Detection Finding", "invalid JSON"),
     (finding(remediation={"desc": "d", "kb_article_list": [{"title": "x"}]}), "SKIPPED", "Detection Finding",
      "invalid: remediation"),
     (finding(remediation={"desc": "d", "kb_article_list": []}), "SUCCESS", "Detection Finding", None),

@@ -119,7 +119,7 @@ OBJECT_RULES = {
     "Attack": "technique:Technique",
     "Image": "name! uid!",
     "Interface": "hostname! ip! mac! name! type_id!",
-    "Article": "os:System! product:Product! severity! title! uid!",
+    "Article": "os:System! product:Product severity! title! uid!",
     "Logger": "log_name! log_provider! name! product:Product! uid! device:Device",
     "Metadata": "product:Product! loggers:[Logger] extensions:[Extension]",
     "Observable": "name! type_id! reputation:Reputation",

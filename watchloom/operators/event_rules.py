@@ -95,12 +95,19 @@ def judge_events(messages: DataFrame, value_col: str = "value") -> DataFrame:
         names = names.when(of_class, F.lit(name))
     given_name = F.expr(J.text("doc.class_name"))
     is_object = F.json_object_keys(value_col).isNotNull()
+    # Text after the end of the object; what follows an inner brace of an object is looked at more closely.
+    whole = F.expr(J.whole_text(f"`{value_col}`"))
+    followed = ~F.rtrim(F.col(value_col)).endswith("}") | F.col(value_col).rlike(r"\}\s*,?\s*\{")
+    tail = F.when(
+        followed,
+        F.try_variant_get(whole, "$[0]", "variant").isNull() | F.try_variant_get(whole, "$[1]", "variant").isNotNull(),
+    ).otherwise(F.lit(False))
     checked = bind(
         parsed,
         _bad=per_class,
         kind=names.otherwise(F.coalesce(given_name, F.lit("Unknown"))),
         # Looked at only for what is no event of a known class.
-        _problem=F.when(
+        _problem=F.when(is_object & tail, "invalid JSON").when(
             F.col("class_uid").isNull(),
             F.when(~is_object & F.try_parse_json(value_col).isNull(), "invalid JSON")
             .when(~is_object, "not an object")

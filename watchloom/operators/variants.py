@@ -14,9 +14,16 @@ INTEGER_TEXT = r"r'^\s*[+-]?\d+(\.0*)?\s*$'"
 NUMBER_TEXT = r"r'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
 BOOLEAN_TEXT = "'true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', 'on', 'off', '1', '0'"
 TRUE_TEXT = "'true', 't', 'yes', 'y', 'on', '1'"
+DATE_TEXT = r"r'^\s*\d{4}-\d{1,2}-\d{1,2}([T ]|\s*$)'"
 NUMBERS = "'^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
 
 
+def whole_text(column: str) -> str:
+    """The column's JSON as the one item of a list; null for text that is no JSON, also
+    for text after its end. (A parser stops at the end of a value; inside a list it may not.)"""
+    return f"try_parse_json(concat('[', {column}, ']'))"
+
+
 def read(root: str, names: Iterable[str], sql_type: str) -> str:
     path = "$" + "".join(f'["{n}"]' for n in names)
     return f"try_variant_get({root}, '{path}', '{sql_type}')"
@@ -54,12 +61,15 @@ def truth(root: str, *names: str) -> str:
 
 
 def instant(root: str, *names: str) -> str:
-    """ISO text, seconds as text or seconds as number -> timestamp (UTC); else null."""
+    """Seconds as number or as text, else text with a full ISO date -> timestamp (UTC); else null.
+
+    Digits alone are seconds, never a year, and a time without a date is refused.
+    """
     t, k = text(root, *names), kind(root, *names)
-    micros = f"try_cast(round(try_cast({t} as double) * 1e6) as bigint)"
+    micros = f"timestamp_micros(try_cast(round(try_cast({t} as double) * 1e6) as bigint))"
     return (
-        f"coalesce(case when {k} = 'STRING' then try_cast({t} as timestamp) end, "
-        f"timestamp_micros(case when {k} = 'STRING' or {k} rlike {NUMBERS} then {micros} end))"
+        f"case when {k} rlike {NUMBERS} or ({k} = 'STRING' and {t} rlike {NUMBER_TEXT}) then {micros} "
+        f"when {k} = 'STRING' and {t} rlike {DATE_TEXT} then try_cast({t} as timestamp) end"
     )
 
 

@@ -35,15 +35,18 @@ def latest_findings(findings: DataFrame, limit: int = 20, tie: str | None = None
     """Newest findings as JSON: the originals of ``raw_data`` plus ``time_dt``; text that
     is no JSON object comes back as it is, with a note."""
     newest = findings.orderBy(F.desc("time_dt"), *([F.desc(tie)] if tie else [])).limit(limit)
-    original = F.from_json("raw_data", ORIGINALS)
     when = F.date_format("time_dt", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    readable = F.to_json(
-        F.struct(*[original[n].alias(n) for n in T.StructType.fromDDL(ORIGINALS).names], when.alias("time_dt"))
-    )
+    # All keys stay, in their order; the time is put behind them.
+    inner = F.regexp_extract("raw_data", r"(?s)^\s*\{(.*)\}\s*$", 1)
+    comma = F.when(F.trim(inner) == "", "").otherwise(",")
+    readable = F.concat(F.lit("{"), inner, comma, F.lit('"time_dt":"'), when, F.lit('"}'))
     unreadable = F.to_json(
         F.struct("raw_data", F.lit("Not a valid JSON string").alias("parse_error"))
     )
-    is_object = F.json_object_keys("raw_data").isNotNull()
+    # A list with exactly this item: neither text after its end nor several items.
+    listed = F.expr("""try_parse_json(concat('[', raw_data, ']'))""")
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    is_object = F.coalesce(F.json_object_keys("raw_data").isNotNull() & one, F.lit(False))
     return newest.withColumn("finding", F.when(is_object, readable).otherwise(unreadable))
 
 
