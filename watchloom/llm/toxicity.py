@@ -29,7 +29,7 @@ from watchloom.session import ship_package
 WINDOW = 5  # words
 NGRAMS = (3, 4, 5, 6)  # bytes of "<word>"
 TABLE_BITS = 18
-MAX_LABELLED = 6_000  # labelled rows that the classifier is fitted on, half of them of each class
+MAX_LABELLED = 5_000  # labelled rows that the classifier is fitted on, half of them of each class
 THRESHOLD = 0.7
 
 
@@ -180,7 +180,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """Fits on at most ``max_labelled`` labelled rows, the same ones in every run.
 
     ``labels`` has ``doc_id`` and ``toxic``. Rows are chosen by the hash of their
-    id, half of the bound from each class; only their texts reach the driver.
+    id, half of the bound from each class; one task learns from them, and only
+    the model, whose size is fixed, reaches the driver.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -196,10 +197,22 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
         .withColumn("order", F.xxhash64("doc_id", "text"))
         .orderBy("order", "doc_id").limit(max_labelled)
-        .select("text", "toxic").toArrow()
+        .select("text", F.col("toxic").cast("long").alias("toxic"))
     )
-    texts = rows.column("text").cast(pa.large_string()).combine_chunks()
-    return train(texts, np.asarray(rows.column("toxic").combine_chunks(), dtype=np.int64))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int64())]))
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        model = train(texts, np.asarray(table.column("toxic").combine_chunks(), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.logit.tobytes()]), pa.array([model.bias]), pa.array([model.trained])],
+            ["logit", "bias", "trained"])
+
+    ship_package(documents.sparkSession)
+    found = rows.mapInArrow(learn, "logit binary, bias double, trained boolean").orderBy(F.desc("trained")).first()
+    if found is None:
+        return ToxicityModel(np.zeros(1 << TABLE_BITS, np.float32), 0.0, False)
+    return ToxicityModel(np.frombuffer(found["logit"], dtype=np.float32), found["bias"], found["trained"])
 
 
 def score(documents: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
