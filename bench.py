@@ -23,7 +23,8 @@ HEADLINE = [
     "last_n_per_topic", "full_outer_federated", "knn_join", "detect_injection", "detect_dns",
     "detect_bruteforce", "fail_then_success", "port_scan", "triage_findings", "tag_documents",
     "pattern_summary", "parse_log_line", "build_message_raw", "validate_sensor", "validate_ocsf",
-    "ocsf_events_view_all", "stream_hourly_counts",
+    "ocsf_events_view_all", "stream_hourly_counts", "attack_steps", "ftp_files", "route_tables", "src_sensor_json",
+    "dead_letter", "ingest_outcomes",
 ]
 
 
