@@ -1,21 +1,23 @@
 """LM scoring with a hidden Markov language model.
 
-Tokens are lower-cased words and one end per text. The model knows a bounded
-number of word classes: each of the ``CLASS_WORDS`` most frequent words is a
-class of its own, all others share ``BUCKETS`` classes by crc32. A state emits a
-class; a word of a shared class follows from the class by its smoothed share of
-the class's counts, with one share for words never seen. So every text has an
-exact probability, and broadcast data keep their size whatever the corpus.
-
-Training is Baum-Welch over all training texts: each task runs the scaled
+Tokens are lower-cased words and one end per text. Every training word has
+emission counts of its own per state. Those of the ``CLASS_WORDS`` most frequent
+words and of the end, and one row for all words never seen, are the model that is
+broadcast; those of all other words are a distributed table, which grows with the
+corpus. Texts are dealt into chunks of about ``CHUNK_TEXT`` bytes; in each round
+a chunk's own words are joined to their rows of that table. So every text has an
+exact probability, up to the single precision in which these rows travel.
+
+Training is Baum-Welch over all training texts: each chunk runs the scaled
 forward-backward recursion over its texts and sends expected counts, which are
-summed per class across tasks. In training only, texts are cut into segments of
-``SEGMENT`` tokens, which keeps the memory of the backward pass bounded; inner
-segments start from a distribution of their own. Scoring runs the scaled forward
-recursion over the whole text.
+summed per word. In training only, texts are cut into segments of ``SEGMENT``
+tokens, which keeps the memory of the backward pass bounded; inner segments start
+from a distribution of their own. Scoring runs the scaled forward recursion over
+the whole text.
 
 Counts of the ``KNOWN_WORDS`` most frequent words go to the tasks, which then
-need a shuffled join for rare words only; hot words never meet in one task.
+need a shuffled join for rarer words only to get the unigram score; hot words
+never meet in one task.
 
 Given rows: a null or empty text is one end token; a null id counts as empty
 text in the hold-out rule; rows that repeat are scored alike and learned from as
@@ -24,12 +26,12 @@ often as they come; without any training text all words are unseen.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +43,12 @@ from watchloom.session import ship_package
 STATES = 8
 ROUNDS = 5
 CLASS_WORDS = 16_384
-BUCKETS = 256
 KNOWN_WORDS = 200_000
 LONGEST_KNOWN = 64  # bytes of a word that may be broadcast
 SEGMENT = 256
 CHUNK_TOKENS = 200_000
+CHUNK_TEXT = 32 << 20  # bytes of text whose words share one list of words outside the classes
+PRIOR = 50.0  # tokens that the unigram shares count for in a state
 END = ""  # no word is empty
 
 
@@ -69,8 +72,8 @@ class Lexicon:
 
     classes: dict[bytes, int]
     logs: dict[bytes, float]  # log10(count + 0.5)
-    class_counts: np.ndarray
-    bucket_logs: np.ndarray  # log10 of each shared class's total
+    class_counts: np.ndarray  # the end, the class words, words never seen
+    last: tuple[int, bytes] | None  # (count, word) of the last class word, if there may be others
     tokens: int
     words: int
 
@@ -78,9 +81,13 @@ class Lexicon:
     def base_log(self) -> float:
         return float(np.log10(self.tokens + 0.5 * (self.words + 1)))
 
-
-def bucket_of(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
+    def outside(self, counts: DataFrame) -> DataFrame:
+        """Rows of ``counts`` of words that are no class of their own."""
+        later = F.octet_length("word") > LONGEST_KNOWN
+        if self.last:
+            n, word = self.last
+            later = later | (F.col("n") < n) | ((F.col("n") == n) & (F.col("word").cast("binary") > F.lit(word)))
+        return counts.where((F.col("word") != END) & later)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -93,96 +100,174 @@ def lexicon(counts: DataFrame) -> Lexicon:
     names = top.column("word").cast(pa.binary()).to_pylist()
     n = np.asarray(top.column("n").combine_chunks(), dtype=np.int64) if names else np.zeros(0, np.int64)
     ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-    buckets = counts.where(F.col("word") != END).groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    sums, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in buckets:
-        sums[row["b"]], kinds[row["b"]] = row["n"], row["v"]
     own = names[:CLASS_WORDS]
-    for word, count in zip(own, n[:CLASS_WORDS]):
-        b = bucket_of(word)
-        sums[b] -= count
-        kinds[b] -= 1
-    class_counts = np.concatenate([[ends], n[: len(own)], sums])
     logs = dict(zip(names, np.log10(n + 0.5).tolist()))
     logs[END.encode()] = float(np.log10(ends + 0.5))
-    return Lexicon({w: i + 1 for i, w in enumerate(own)}, logs, class_counts,
-                   np.log10(sums + 0.5 * (kinds + 1)), totals[0] or 0, totals[1])
+    last = (int(n[len(own) - 1]), own[-1]) if own else None
+    return Lexicon({w: i + 1 for i, w in enumerate(own)}, logs, np.concatenate([[ends], n[: len(own)], [0]]), last,
+                   totals[0] or 0, totals[1])
 
 
 SEQUENCES = T.StructType([
+    T.StructField("chunk", T.LongType()),
     T.StructField("row", T.LongType()),
     T.StructField("doc_id", T.LongType()),
     T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()),
     T.StructField("known_here", T.LongType()),
     T.StructField("log_here", T.DoubleType()),
-    T.StructField("log_buckets", T.DoubleType()),
-    T.StructField("classes", T.BinaryType()),
+    T.StructField("tokens", T.BinaryType()),
     T.StructField("rare", T.ArrayType(T.StructType([
         T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))),
+    T.StructField("first", T.LongType()),
+    T.StructField("words", T.ArrayType(T.StringType())),
 ])
 
 
 def sequences(documents: DataFrame, known: Lexicon) -> DataFrame:
-    """Each text as class numbers, its sums over known words, and its rare words with their counts."""
+    """Each text as numbers of words, its sums over known words, and its rare words with their counts.
+
+    Numbers from the number of classes on are places in the chunk's list of words,
+    which stands in rows without ``row``: ``words`` from place ``first`` on.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        first = len(lex.class_counts) - BUCKETS
+        size = len(lex.class_counts)
+        chunk, filled = TaskContext.get().partitionId() << 32, 0
+        places: dict[bytes, int] = {}
         for piece in pieces(batches, "text"):
+            if filled >= CHUNK_TEXT:
+                chunk, filled, places = chunk + 1, 0, {}
+            filled += piece.column("text").nbytes
             words = Words(piece.column("text"), lower=True)
             names = words.word_bytes()
-            size = len(names)
+            first = len(places)
             number = np.fromiter(
-                (lex.classes.get(w) or first + bucket_of(w) for w in names), dtype=np.uint16, count=size)
-            logs = np.fromiter((lex.logs.get(w, np.nan) for w in names), dtype=np.float64, count=size)
+                (lex.classes.get(w) or size + places.setdefault(w, len(places)) for w in names),
+                dtype=np.uint32, count=len(names))
+            logs = np.fromiter((lex.logs.get(w, np.nan) for w in names), dtype=np.float64, count=len(names))
             rare = np.isnan(logs)
-            local = np.where(rare, 0.0, logs)
-            bucket = number.astype(np.int64) - first
-            in_bucket = np.where(bucket >= 0, local - lex.bucket_logs[np.maximum(bucket, 0)], 0.0)
-            per_word = np.stack([local, ~rare, in_bucket], axis=1)
-            total = np.concatenate([np.zeros((1, 3)), np.cumsum(per_word[words.codes], axis=0)])
+            per_word = np.stack([np.where(rare, 0.0, logs), ~rare], axis=1)
+            total = np.concatenate([np.zeros((1, 2)), np.cumsum(per_word[words.codes], axis=0)])
             sums = total[words.starts[1:]] - total[words.starts[:-1]]
             ended = lex.class_counts[0] > 0
-            classes = number[words.codes].astype("<u2")
+            tokens = number[words.codes].astype("<u4")
             spot = np.flatnonzero(rare[words.codes])
-            pair, n = np.unique(words.owners[spot] * max(size, 1) + words.codes[spot], return_counts=True)
-            owner, code = pair // max(size, 1), pair % max(size, 1)
+            kinds = max(len(names), 1)
+            pair, n = np.unique(words.owners[spot] * kinds + words.codes[spot], return_counts=True)
+            owner, code = pair // kinds, pair % kinds
             rare_starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=piece.num_rows))])
             items = pa.StructArray.from_arrays(
                 [words.vocabulary.cast(pa.string()).take(pa.array(code)), pa.array(n)], ["word", "n"])
-            end = b"\0\0"
+            rares = pa.ListArray.from_arrays(pa.array(rare_starts, pa.int32()), items)
+            end = bytes(4)
             yield pa.RecordBatch.from_arrays([
+                pa.array([chunk] * piece.num_rows, pa.int64()),
                 piece.column("row"), piece.column("doc_id"), piece.column("held_out"),
                 pa.array(words.counts + 1),
                 pa.array(sums[:, 1].astype(np.int64) + ended),
                 pa.array(sums[:, 0] + lex.logs[END.encode()]),
-                pa.array(sums[:, 2]),
-                pa.array([classes[a:b].tobytes() + end for a, b in zip(words.starts[:-1], words.starts[1:])], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(rare_starts, pa.int32()), items),
+                pa.array([tokens[a:b].tobytes() + end for a, b in zip(words.starts[:-1], words.starts[1:])], pa.binary()),
+                rares, pa.nulls(piece.num_rows, pa.int64()), pa.nulls(piece.num_rows, pa.list_(pa.string())),
             ], SEQUENCES.names)
+            if len(places) > first:
+                new = np.flatnonzero(number >= size + first)  # in the order of their places
+                listed = pa.ListArray.from_arrays(
+                    pa.array([0, len(new)], pa.int32()), words.vocabulary.cast(pa.string()).take(pa.array(new)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), *(pa.nulls(1, t) for t in (
+                        pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), rares.type)),
+                     pa.array([first], pa.int64()), listed], SEQUENCES.names)
 
     return documents.mapInArrow(run, SEQUENCES)
 
 
+def listed_words(rows: DataFrame) -> DataFrame:
+    """(chunk, at, word): the words outside the classes of each chunk."""
+    lists = rows.where("row is null").select("chunk", "first", F.posexplode("words").alias("k", "word"))
+    return lists.select("chunk", (F.col("first") + F.col("k")).alias("at"), "word")
+
+
 @dataclass
 class Model:
     start: np.ndarray  # of texts
     inner: np.ndarray  # of segments inside a text, in training
     moves: np.ndarray
-    emits: np.ndarray  # a row per class
+    emits: np.ndarray  # a row per class, the last one for words never seen
 
 
-def first_model(class_counts: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
-    """States that stay put and prefer words at random: what tells them apart grows in training."""
+def first_shares(class_counts: np.ndarray, states: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    share = (class_counts + 0.5)[:, None] * rng.gamma(1.0, size=(len(class_counts), states))
+    return (class_counts + 0.5)[:, None] * rng.gamma(1.0, size=(len(class_counts), states))
+
+
+def first_model(class_counts: np.ndarray, states: int = STATES, seed: int = 5, others: np.ndarray | float = 0.0) -> Model:
+    """States that stay put and prefer words at random: what tells them apart grows in training.
+
+    ``others`` is what the words outside the classes add to each state.
+    """
+    share = first_shares(class_counts, states, seed)
     moves = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(moves, 0.9)
     even = np.full(states, 1.0 / states)
-    return Model(even, even, moves / moves.sum(axis=1, keepdims=True), share / share.sum(axis=0))
+    return Model(even, even, moves / moves.sum(axis=1, keepdims=True), share / (share.sum(axis=0) + others))
+
+
+@dataclass
+class Others:
+    """The words outside the classes."""
+
+    listed: DataFrame  # chunk, at, word
+    emits: DataFrame  # word and its emission per state
+    mass: float  # sum of count + 0.5
+
+
+def state_names(states: int) -> list[str]:
+    return [f"s{k}" for k in range(states)]
+
+
+def first_others(rows: DataFrame, counts: DataFrame, known: Lexicon, states: int, seed: int = 5) -> tuple[Others, np.ndarray]:
+    """Random first emissions of the words outside the classes, and their sums before scaling."""
+    names = state_names(states)
+    even = [(F.xxhash64("word", F.lit(seed), F.lit(k)).bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(2.0**52)
+            for k in range(states)]
+    drawn = known.outside(counts).select(
+        "word", (F.col("n") + 0.5).alias("m"), *(((F.col("n") + 0.5) * -F.log(u)).alias(s) for s, u in zip(names, even)))
+    sums = drawn.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("m", *names))).first()
+    others = np.array(sums[1:])
+    total = first_shares(known.class_counts, states, seed).sum(axis=0) + others
+    scaled = drawn.select("word", *((F.col(s) / F.lit(float(x))).cast("float").alias(s) for s, x in zip(names, total)))
+    return Others(stored(listed_words(rows), "listed-words"), scaled, float(sums[0])), others
+
+
+def with_others(rows: DataFrame, others: Others | None, states: int, run, schema) -> DataFrame:
+    """``run(texts, words)`` per chunk: its texts and the emissions of its words outside the classes."""
+    names = state_names(states)
+    if others is None:
+        words = rows.sparkSession.createDataFrame([], "chunk long, at long, word string, " + ", ".join(f"{s} float" for s in names))
+    else:
+        words = others.listed.join(others.emits, "word").select("chunk", "at", "word", *names)
+    return rows.where("row is not null").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def chunk_model(model: Model, words: pa.Table) -> tuple[Model, np.ndarray]:
+    """The model with a row per listed word, and the places that have one; other words emit as never seen."""
+    places = words.column("at").to_numpy()
+    if not len(places):
+        return model, places
+    emits = np.tile(model.emits[-1], (int(places.max()) + 1, 1))
+    for k in range(len(model.start)):
+        emits[places, k] = words.column(f"s{k}").to_numpy()
+    return replace(model, emits=np.concatenate([model.emits, emits])), places
+
+
+def chunk_tokens(texts: pa.Table, model: Model, unseen: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, numbers of their words, lengths) of pieces of a chunk."""
+    for piece in pieces(texts.to_batches(), "tokens", 4 * CHUNK_TOKENS):
+        tokens, lengths = tokens_of(piece.column("tokens"))
+        yield piece, np.where(tokens < len(model.emits), tokens, unseen), lengths
 
 
 class Layout:
@@ -254,10 +339,10 @@ def expected(model: Model, tokens: np.ndarray, lengths: np.ndarray, firsts: np.n
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(class numbers of all rows, lengths)."""
+    """(numbers of the words of all rows, lengths)."""
     values = column.to_pylist()
-    lengths = np.fromiter((len(v) // 2 for v in values), dtype=np.int64, count=len(values))
-    return np.frombuffer(b"".join(values), dtype="<u2").astype(np.int64), lengths
+    lengths = np.fromiter((len(v) // 4 for v in values), dtype=np.int64, count=len(values))
+    return np.frombuffer(b"".join(values), dtype="<u4").astype(np.int64), lengths
 
 
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,65 +355,91 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def improved(rows: DataFrame, model: Model, class_counts: np.ndarray) -> tuple[Model, float]:
-    """One round of Baum-Welch over column ``classes``: (new model, log likelihood under the old one).
+    """A round in which all words outside the classes are taken as never seen."""
+    model, _, likelihood = trained(rows, model, class_counts, None)
+    return model, likelihood
+
 
-    Tasks send a row per class they met and one per state; sums meet by class.
+def trained(rows: DataFrame, model: Model, class_counts: np.ndarray,
+            others: Others | None) -> tuple[Model, Others | None, float]:
+    """One round of Baum-Welch: (new model, new emissions of other words, log likelihood under the old ones).
+
+    Chunks send a row per word they met and one per state; sums meet by word.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
-    names = [f"s{k}" for k in range(states)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = shared.value
-        size = len(current.emits)
-        sums = np.zeros((size + states + 3, states))
-        for piece in pieces(batches, "classes", 2 * CHUNK_TOKENS):
-            tokens, lengths = tokens_of(piece.column("classes"))
+    names = state_names(states)
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        base = shared.value
+        size = len(base.emits)
+        current, places = chunk_model(base, words)
+        emitted = np.zeros_like(current.emits)
+        sums = np.zeros((states + 4, states))
+        for _, tokens, lengths in chunk_tokens(texts, current, size - 1):
             firsts, parts, opening = segments(lengths)
             # A long text has many segments: they too are taken in groups of bounded size.
             group = np.cumsum(parts) // CHUNK_TOKENS
             for g in np.unique(group):
                 m = group == g
                 start, inner, moves, emits, likelihood = expected(current, tokens, parts[m], firsts[m], opening[m])
-                sums[:size] += emits
-                sums[size : size + states] += moves
-                sums[size + states] += start
-                sums[size + states + 1] += inner
-                sums[size + states + 2, 0] += likelihood
-        used = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), *(pa.array(sums[used, k]) for k in range(states))], ["key", *names])
-
-    schema = "key int, " + ", ".join(f"{n} double" for n in names)
-    got = rows.select("classes").mapInArrow(run, schema).groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+                emitted += emits
+                sums[:states] += moves
+                sums[states] += start
+                sums[states + 1] += inner
+                sums[states + 2, 0] += likelihood
+        other = emitted[size:][places]
+        # Listed words without a row of their own are words never seen.
+        emitted[size - 1] += emitted[size:].sum(axis=0) - other.sum(axis=0)
+        sums[states + 3] = other.sum(axis=0)
+        sums = np.concatenate([emitted[:size], sums])
+        used, met = np.flatnonzero(sums.any(axis=1)), np.flatnonzero(other.any(axis=1))
+        return pa.table(
+            [pa.array(np.append(used, np.full(len(met), -1)).astype(np.int32)),
+             pa.concat_arrays([pa.nulls(len(used), pa.string()),
+                               words.column("word").combine_chunks().cast(pa.string()).take(pa.array(met))]),
+             *(pa.array(np.append(sums[used, k], other[met, k])) for k in range(states))], ["key", "word", *names])
+
+    schema = "key int, word string, " + ", ".join(f"{n} double" for n in names)
+    sent = with_others(rows.select("chunk", "row", "tokens"), others, states, run, schema)
+    summed = stored(sent.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names)), "expected-counts")
+    got = summed.where("key >= 0").toArrow()
     size = len(model.emits)
-    sums = np.zeros((size + states + 3, states))
+    sums = np.zeros((size + states + 4, states))
     if got.num_rows:
-        sums[np.asarray(got.column("key").combine_chunks())] = np.stack(
-            [np.asarray(got.column(n).combine_chunks()) for n in names], axis=1)
-    prior = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    emits = sums[:size] + 50.0 * prior[:, None]
+        sums[got.column("key").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
+    shared.unpersist()
+    mass = float((class_counts + 0.5).sum()) + (others.mass if others else 0.0)
+    total = sums[:size].sum(axis=0) + sums[size + states + 3] + PRIOR
+    if others is None:
+        total = total - PRIOR + PRIOR * (class_counts + 0.5).sum() / mass
+    emits = (sums[:size] + PRIOR * (class_counts + 0.5)[:, None] / mass) / total
     moves = sums[size : size + states] + 0.1
     start, inner = sums[size + states] + 0.1, sums[size + states + 1] + 0.1
-    shared.unpersist()
-    return Model(start / start.sum(), inner / inner.sum(), moves / moves.sum(axis=1, keepdims=True),
-                 emits / emits.sum(axis=0)), float(sums[size + states + 2, 0])
+    better = Model(start / start.sum(), inner / inner.sum(), moves / moves.sum(axis=1, keepdims=True), emits)
+    if others:
+        prior = (sum((F.col(n) for n in names), F.lit(0.5))) * F.lit(PRIOR / mass)  # a word's counts sum to its own count
+        found = summed.where("key = -1").select(
+            "word", *(((F.col(n) + prior) / F.lit(float(t))).cast("float").alias(n) for n, t in zip(names, total)))
+        others = replace(others, emits=found)
+    return better, others, float(sums[size + states + 2, 0])
 
 
-def class_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """Replaces ``classes`` by ``log_classes``: log10 of the exact probability of the class sequence."""
+def class_scores(rows: DataFrame, model: Model, others: Others | None) -> DataFrame:
+    """Replaces ``tokens`` by ``log_tokens``: log10 of the probability of the sequence."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in rows.columns if c != "classes"]
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("log_classes", T.DoubleType())])
+    kept = [c for c in rows.columns if c not in ("tokens", "chunk")]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("log_tokens", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "classes", 4 << 20):
-            tokens, lengths = tokens_of(piece.column("classes"))
-            logs = forward_log(shared.value, tokens, lengths, np.cumsum(lengths) - lengths) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(logs)], schema.names)
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        base = shared.value
+        current, _ = chunk_model(base, words)
+        logs = [np.zeros(0)]
+        for _, tokens, lengths in chunk_tokens(texts, current, len(base.emits) - 1):
+            logs.append(forward_log(current, tokens, lengths, np.cumsum(lengths) - lengths) / np.log(10))
+        return pa.table([*(texts.column(c) for c in kept), pa.array(np.concatenate(logs))], [*kept, "log_tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return with_others(rows, others, len(model.start), run, schema)
 
 
 def score(documents: DataFrame, held_out: Column, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
@@ -339,22 +450,22 @@ def score(documents: DataFrame, held_out: Column, rounds: int = ROUNDS, states:
     counts = stored(word_counts(given.where(~F.col("held_out"))), "word-counts")
     known = lexicon(counts)
     rows = stored(sequences(given, known), "sequences")
-    learned = rows.where(~F.col("held_out"))
-    model = first_model(known.class_counts, states)
+    texts = rows.where("row is not null").drop("first", "words")
+    others, sums = first_others(rows, counts, known, states)
+    model = first_model(known.class_counts, states, others=sums)
     for _ in range(rounds):
-        model, _ = improved(learned, model, known.class_counts)
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+        model, others, _ = trained(texts.where(~F.col("held_out")), model, known.class_counts, others)
+    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     found = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(c + 0.5)).alias("log_rare"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_rare"),
     )
-    scored = class_scores(rows.drop("rare"), model).join(found, "row", "left")
-    log_rare = F.coalesce("log_rare", F.lit(0.0))
+    scored = stored(class_scores(texts.drop("rare"), model, others), "scores").join(found, "row", "left")
     return scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known_here") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
         F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("log_here") + log_rare - F.col("n_tokens") * known.base_log).alias("base_score"),
-        (F.col("log_classes") + F.col("log_buckets") + log_rare).alias("score"),
+        (F.col("log_here") + F.coalesce("log_rare", F.lit(0.0)) - F.col("n_tokens") * known.base_log).alias("base_score"),
+        F.col("log_tokens").alias("score"),
     )
