@@ -66,7 +66,8 @@ NOT_MAIN_NAMES = set(
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 class Node:
@@ -75,11 +76,11 @@ class Node:
     __slots__ = ("tag", "kind", "main", "skip", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
-        named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1]}
-        names = re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower())
+        named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        # Whole names only: "no-sidebar" or "with-sidebar" say something about the main text beside it.
+        names = f"{named.get('class', '')} {named.get('id', '')}".lower().split() if tag not in ("html", "body") else []
         role = named.get("role", "").lower()
-        hidden = " hidden" in attributes.lower() or named.get("aria-hidden") == "true" or "display:none" in named.get(
-            "style", "").replace(" ", "")
+        hidden = "hidden" in named or named.get("aria-hidden") == "true" or bool(_NO_DISPLAY.search(named.get("style", "")))
         self.tag = tag
         self.main = tag in ("article", "main") or role == "main"
         self.skip = hidden or tag in NOT_MAIN or role in NOT_MAIN_ROLES or (
@@ -93,15 +94,23 @@ def parse(page: str) -> Node:
     """Tree of the block elements of a page; scripts, styles and comments are left out."""
     root = Node("#root")
     stack, links, at = [root], 0, 0
+    deeper: list[str] = []  # open elements below DEEPEST, which have no node
 
     def text(upto: int) -> None:
         if upto > at:
             stack[-1].kids.append((page[at:upto], links > 0))
 
     def leave(tags: set[str], within: set[str]) -> None:
+        for depth in range(len(deeper) - 1, -1, -1):
+            if deeper[depth] in tags:
+                del deeper[depth:]
+                return
+            if deeper[depth] in within:
+                return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
                 del stack[depth:]
+                deeper.clear()
                 return
             if stack[depth].tag in within:
                 return
@@ -127,22 +136,30 @@ def parse(page: str) -> Node:
         elif tag in BLOCKS:
             links = 0 if tag not in VOID else links
             if closing:
+                if tag in deeper:
+                    while deeper.pop() != tag:
+                        pass
+                    stack[-1].kids.append(Node("hr"))
+                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
                         del stack[depth:]
+                        deeper.clear()
                         break
                 continue
-            if tag in ENDS_PARAGRAPH and stack[-1].tag == "p":
-                stack.pop()
+            if tag in ENDS_PARAGRAPH and (deeper[-1] if deeper else stack[-1].tag) == "p":
+                (deeper or stack).pop()
             if tag in CLOSES:
                 leave(*CLOSES[tag])
             node = Node(tag, token[3])
-            if len(stack) < DEEPEST:
+            if len(stack) < DEEPEST and not deeper:
                 stack[-1].kids.append(node)
                 if tag not in VOID:
                     stack.append(node)
             else:
                 stack[-1].kids.append(Node("hr"))  # still a break between blocks
+                if tag not in VOID:
+                    deeper.append(tag)
 
 
 # A wrapper node is a list: kind, optional, repeated, children, characters, characters in links.
