@@ -12,8 +12,17 @@ import xxhash
 PIECE_BYTES = 4 << 20  # text handled at once; one longer text is a piece of its own
 
 
+def whole(array: pa.Array) -> pa.Array:
+    """A copy with buffers of its own that start at its first value.
+
+    Some compute functions read a slice's buffers from the wrong place once the
+    slice was cast, so nothing is computed from a slice.
+    """
+    return pa.concat_arrays([array])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each piece holds about ``limit`` bytes of a text or binary column."""
+    """Cuts batches so that each piece holds about ``limit`` bytes of a text or binary column, copied."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -23,7 +32,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
         while start < batch.num_rows:
             before = total[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            piece = batch.slice(start, stop - start)
+            yield pa.RecordBatch.from_arrays([whole(x) for x in piece.columns], schema=piece.schema)
             start = stop
 
 
@@ -35,7 +45,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(whole(texts), "").cast(pa.large_string())
         if lower:
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
