@@ -50,6 +50,44 @@ nodes as (select id from d),
 select p.id as doc_id, coalesce(s.n, 0) as n_shingles, p.component_id, p.id = p.component_id as kept
 from parts p left join sizes s using (id)"""
 
+DIVERGENCE = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+vocabulary as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+v as (select lang, count(*) as v from vocabulary group by lang),
+c as (select lang, source, term, count(*) as n from t join vocabulary using (lang, term) group by all),
+g as (
+  select lang, source, coalesce(sum(n), 0) + 2 * coalesce(any_value(v), 0) as below
+  from (select distinct lang, source from d) left join c using (lang, source) left join v using (lang) group by lang, source),
+p as (
+  select lang, source, term, coalesce(n, 0) as n,
+    1 + (cast(1000000000 as hugeint) * (coalesce(n, 0) + 2)) // cast(below as hugeint) as p
+  from g join vocabulary using (lang) left join c using (lang, source, term)),
+q as (
+  select lang, term, 1 + (cast(1000000000 as hugeint) * (sum(n) + 2))
+    // cast(sum(sum(n)) over (partition by lang) + 2 * count(*) over (partition by lang) as hugeint) as q
+  from c group by lang, term),
+pairs as (
+  select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+  union all
+  select x.lang, x.source, y.source, 0 from g x join g y on x.lang = y.lang and x.source <> y.source
+  where x.lang not in (select lang from v)),
+terms as (
+  select lang, source, term as item, (p - q) * (p - q) // (p + q) as value
+  from p join q using (lang, term) where n > 0 and p > q),
+both_parts as (
+  select lang, source, 'pair' as part, item, cast(value as bigint) as value from pairs
+  union all
+  select lang, source, 'term', item, cast(value as bigint) from terms),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from both_parts)
+select lang, source, part, item, value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 10"""
+
 VECTORS = f"""
 with recursive v as (
   select vec_id as id, label, cast(embedding as double[]) as e from embeddings
@@ -109,4 +147,5 @@ ORACLES = {
     "op4_setsketch": NEAR_COPIES,
     "op7_vector_dup": VECTORS,
     "op9_quality": QUALITY,
+    "op12_divergence": DIVERGENCE,
 }

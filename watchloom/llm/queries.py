@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bytebpe, hmm, mixing, quality, setsketch, substrings, tokenfiles, toxicity, vectordup, wrappers
+from watchloom.llm import (
+    boosting,
+    bytebpe,
+    divergence,
+    hmm,
+    mixing,
+    quality,
+    setsketch,
+    spelling,
+    substrings,
+    tokenfiles,
+    toxicity,
+    vectordup,
+    wrappers,
+)
 from watchloom.llm.oracles import ORACLES  # noqa: F401
 from watchloom.session import scratch_path
 
@@ -21,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(parts: int) -> F.Column:
-    """True where crc32 of the id as text leaves remainder 1; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == 1
+def held_out(parts: int, remainder: int = 1) -> F.Column:
+    """True where crc32 of the id as text leaves this remainder; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == remainder
 
 
 @query
@@ -86,3 +100,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select(
         "doc_id", held_out(3).alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op11_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = boosting.fit(documents, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    return boosting.score(documents, model).select(
+        "doc_id", held_out(4, 2).alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
