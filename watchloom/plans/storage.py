@@ -139,17 +139,14 @@ def _(spark, sf_dir):
 
 
 @query("sink_hourly_json", """
-select service as log_type, date_trunc('hour', ts) as hour, count(*) as messages from sensor_conn
-where ts >= timestamp '2001-10-01 00:00:00' group by 1, 2""")
+select service as log_type, date_trunc('hour', ts) as hour, count(*) as messages from sensor_conn group by 1, 2""")
 def _(spark, sf_dir):
     path = scratch_path(spark, "hourly")
     K.write_hourly_json(G.sensor_conn(spark, sf_dir).withColumnRenamed("service", "log_type"), path)
     # Folder names are texts: without a declared type the hour would be guessed as a date.
     read = spark.read.schema("uid string, log_type string, hour string").json(path)
     hour = F.to_timestamp("hour", "yyyy-MM-dd-HH").cast("timestamp_ntz").alias("hour")
-    # The whole table is written; the twin compares its last hours.
-    recent = read.filter(F.col("hour") >= "2001-10-01-00")
-    return recent.groupBy("log_type", hour).agg(F.count(F.lit(1)).alias("messages"))
+    return read.groupBy("log_type", hour).agg(F.count(F.lit(1)).alias("messages"))
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -159,21 +156,42 @@ def _run(spark, writer):
     J.start(writer, scratch_path(spark, "mark")).awaitTermination()
 
 
-def _event_stream(spark, sf_dir):
-    """The shaped events as a stream over the files of the given table."""
-    shaped = G.security_events(_Streaming(spark), sf_dir)
-    return shaped
+ROUNDS = 4
+
+
+def _arrivals(rows, time_col, id_col):
+    """Adds ``round``: when rows arrive, up to eleven hours late, in four rounds of equal spans of arrival."""
+    late = rows.withColumn("arrival", F.col(time_col) + F.make_dt_interval(hours=(F.col(id_col) % 12).cast("int")))
+    span = late.agg(F.min("arrival").alias("low"), F.max("arrival").alias("high")).first()
+    step = (span["high"] - span["low"]) / ROUNDS
+    cuts = [F.lit((span["low"] + step * k).isoformat(sep=" ")).cast("timestamp_ntz") for k in range(1, ROUNDS)]
+    return late.withColumn("round", sum((F.col("arrival") >= c).cast("int") for c in cuts)).drop("arrival")
+
 
+def _in_rounds(spark, rows, make_writer):
+    """Lets rows with a column ``round`` arrive round by round; the query stops and starts again after each."""
+    parts, source, mark = (scratch_path(spark, n) for n in ("rounds", "source", "mark"))
+    rows.write.partitionBy("round").parquet(parts)
+    schema = rows.drop("round").schema
+    for k in range(ROUNDS):
+        arrived = spark.read.schema(rows.schema).parquet(parts).filter(F.col("round") == k).drop("round")
+        arrived.write.mode("append").parquet(source)
+        J.start(make_writer(spark.readStream.schema(schema).parquet(source)), mark).awaitTermination()
 
-class _Streaming:
-    """Lets a shaper read its table as a stream."""
 
-    def __init__(self, spark):
-        self.read = self
-        self.spark = spark
+def _live(spark, sf_dir, report, keys, gone=None):
+    """A live report over events in rounds, as its stored table stands at the end."""
+    table = K.KeyedTable(spark, scratch_path(spark, "live"), keys, gone, fold_every=3)
+    events = _arrivals(G.security_events(spark, sf_dir), "time_dt", "event_id")
+    _in_rounds(spark, events, lambda stream: J.into_table(report(stream, delay="12 hours"), table))
+    return table.read()
 
-    def parquet(self, path):
-        return streams.table_stream(self.spark, path)
+
+def _event_stream(spark, sf_dir):
+    """The shaped events as a stream over the files of the given table."""
+    path = scratch_path(spark, "events")
+    G.security_events(spark, sf_dir).write.parquet(path)
+    return streams.table_stream(spark, path)
 
 
 def _to_parquet(spark, stream, name):
@@ -189,37 +207,32 @@ def _(spark, sf_dir):
 
 
 @query("stream_hourly_counts", """
-with lim as (select max(time_dt) - interval 10 minutes as mark from security_events)
 select date_trunc('hour', time_dt) as time_bucket, original_event_type, count(*) as event_count
-from security_events, lim group by 1, 2, mark
-having date_trunc('hour', time_dt) + interval 1 hour <= mark""")
+from security_events group by 1, 2""")
 def _(spark, sf_dir):
-    counted = _to_parquet(spark, J.hourly_counts(_event_stream(spark, sf_dir)), "hourly")
+    counted = _live(spark, sf_dir, J.hourly_counts, J.HOURLY_KEYS)
     return counted.withColumn("time_bucket", F.col("time_bucket").cast("timestamp_ntz"))
 
 
 @query("stream_sliding_bruteforce", """
 with f as (select * from security_events where original_event_type like '%_failure'),
-lim as (select max(time_dt) - interval 10 minutes as mark from f),
 w as (select src_ip, time_bucket(interval 5 minutes, time_dt) - to_minutes(5 * k::int) as window_start
   from f, range(6) as r(k))
-select window_start, src_ip, count(*) as guesses from w, lim group by 1, 2, mark
-having count(*) >= 3 and window_start + interval 30 minutes <= mark""")
+select window_start, src_ip, count(*) as guesses from w group by 1, 2 having count(*) >= 3""")
 def _(spark, sf_dir):
-    found = _to_parquet(spark, J.sliding_bruteforce(_event_stream(spark, sf_dir)), "sliding")
+    found = _live(spark, sf_dir, J.sliding_bruteforce, J.SLIDING_KEYS)
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", """
-with lim as (select max(time_dt) - interval 10 minutes as mark from security_events),
-s as (select *, case when time_dt < lag(time_dt) over w + interval 30 minutes then 0 else 1 end as opens
+with s as (select *, case when time_dt < lag(time_dt) over w + interval 30 minutes then 0 else 1 end as opens
   from security_events window w as (partition by src_ip, dst_ip order by time_dt, event_id)),
 n as (select *, sum(opens) over (partition by src_ip, dst_ip order by time_dt, event_id) as number from s)
 select src_ip, dst_ip, min(time_dt) as session_start, max(time_dt) + interval 30 minutes as session_end,
   count(*) as events_in_session
-from n, lim group by src_ip, dst_ip, number, mark having max(time_dt) + interval 30 minutes <= mark""")
+from n group by src_ip, dst_ip, number""")
 def _(spark, sf_dir):
-    found = _to_parquet(spark, J.sessions(_event_stream(spark, sf_dir)), "sessions")
+    found = _live(spark, sf_dir, J.sessions, J.SESSION_KEYS, "merged_away")
     return found.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
     )
@@ -227,13 +240,19 @@ def _(spark, sf_dir):
 
 @query("stream_dedup", "select event_id, original_event_type from security_events")
 def _(spark, sf_dir):
-    """Every event sent twice; one copy is kept."""
-    events = _event_stream(spark, sf_dir)
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
-        "value", F.concat_ws("|", F.col("event_id").cast("string"), "original_event_type")
-    )
-    kept = J.first_copies(twice, "time_dt").select("event_id", "original_event_type")
-    return _to_parquet(spark, kept, "deduped")
+    """Every event sent twice, the second time in another round where there is one; one copy is kept."""
+    events = _arrivals(G.security_events(spark, sf_dir), "time_dt", "event_id")
+    copy = F.explode(F.array(F.lit(0), F.lit(1)))
+    twice = events.withColumn("copy", copy).withColumn("round", F.least(F.col("round") + F.col("copy"), F.lit(ROUNDS - 1)))
+    out = scratch_path(spark, "deduped")
+
+    def first(stream):
+        text = F.concat_ws("|", F.col("event_id").cast("string"), "original_event_type")
+        kept = J.first_copies(stream.withColumn("value", text), "time_dt", "12 hours")
+        return kept.select("event_id", "original_event_type").writeStream.format("parquet").option("path", out)
+
+    _in_rounds(spark, twice, first)
+    return spark.read.parquet(out)
 
 
 @query("stream_tail_buffer", """
@@ -241,10 +260,10 @@ select topic, msg_offset, msg_time, data from (select *, row_number() over (part
   as k from stream_messages) where k <= 50""")
 def _(spark, sf_dir):
     root = scratch_path(spark, "tail")
-    _run(spark, J.tail_buffer(G.stream_messages(_Streaming(spark), sf_dir), root))
-    newest = spark.read.parquet(root)
-    last = newest.agg(F.max("batch_id")).first()[0]
-    return newest.filter(F.col("batch_id") == last).drop("batch_id")
+    messages = _arrivals(G.stream_messages(spark, sf_dir), "msg_time", "msg_offset")
+    _in_rounds(spark, messages, lambda stream: J.tail_buffer(stream, root))
+    last = K.written_batches(spark, root)[-1]
+    return spark.read.parquet(f"{root}/batch_id={last}")
 
 
 @query("stream_inspect", f"""

@@ -38,6 +38,71 @@ def write_batch(df: DataFrame, table_path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def written_batches(spark: SparkSession, table_path: str) -> list[int]:
+    """Ids of the batches that were written to their end, ascending."""
+    files, where = _file_system(spark, f"{table_path}/batch_id=*/_SUCCESS")
+    found = files.globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+class KeyedTable:
+    """A stored table of one current row per key, fed by batches of changed rows.
+
+    A batch is written once, as it comes, to ``changes/batch_id=<n>``. Every
+    ``fold_every`` batches the rows in force are written to ``folded/batch_id=<n>``, so
+    that a reader merges one folded table with a few batches of changes; what
+    the fold before last needed is deleted then. A batch that is run again
+    overwrites its own folder and folds from the same input. A row whose
+    ``gone`` column is true deletes its key. Rows of a key are merged by partial aggregation, so a key
+    that changes in every batch is not hot.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], gone: str | None = None, fold_every: int = 20):
+        self.spark, self.path, self.keys, self.gone, self.fold_every = spark, path, keys, gone, fold_every
+        self.changes, self.folded = f"{path}/changes", f"{path}/folded"
+
+    def upsert(self, changed: DataFrame, batch_id: int) -> None:
+        """Puts in force the rows of a batch; it holds a key at most once."""
+        write_batch(changed, self.changes, batch_id)
+        if batch_id % self.fold_every == self.fold_every - 1:
+            folds = [n for n in written_batches(self.spark, self.folded) if n < batch_id]
+            write_batch(self._merged(folds[-1] if folds else None, batch_id, changed.schema), self.folded, batch_id)
+            for old in folds[:-1]:
+                delete(self.spark, f"{self.folded}/batch_id={old}")
+            for old in written_batches(self.spark, self.changes):
+                if folds and old <= folds[-1]:
+                    delete(self.spark, f"{self.changes}/batch_id={old}")
+
+    def read(self) -> DataFrame:
+        """The rows in force."""
+        folds = written_batches(self.spark, self.folded)
+        batches = written_batches(self.spark, self.changes)
+        schema = self.spark.read.parquet(f"{self.changes}/batch_id={batches[-1]}").schema
+        merged = self._merged(folds[-1] if folds else None, batches[-1], schema)
+        return merged.filter(~F.col(self.gone)).drop(self.gone) if self.gone else merged
+
+    def _merged(self, fold: int | None, last: int, schema) -> DataFrame:
+        parts = [f"{self.changes}/batch_id={n}" for n in written_batches(self.spark, self.changes)
+                 if (fold is None or n > fold) and n <= last]
+        if fold is not None:
+            parts.append(f"{self.folded}/batch_id={fold}")
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"batch_id=(\d+)/[^/]*$", 1).cast("bigint")
+        rows = self.spark.read.schema(schema).parquet(*parts).withColumn("_batch", number)
+        values = [c for c in schema.names if c not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "_batch").alias("_row"))
+        return newest.select(*self.keys, "_row.*").select(*schema.names)
+
+
 def read_table(spark: SparkSession, table_path: str) -> DataFrame:
     """Stored table; columns that appeared in later batches are null before."""
     return spark.read.option("mergeSchema", "true").parquet(table_path).drop("batch_id")
