@@ -21,7 +21,7 @@ ID = ("event_id",)
 
 
 def _parsed(spark, sf_dir):
-    return N.parsed_lines(G.log_lines(spark, sf_dir))
+    return N.parsed_lines(files.spread(G.log_lines(spark, sf_dir)))
 
 
 def _normalized(spark, sf_dir):
@@ -389,7 +389,7 @@ def _sensor_json(spark, sf_dir):
         .when(number % 131 == 0, F.lit('{"dns": {"answers": ["1.1.1.1"]}}'))
         .otherwise(tagged)
     )
-    return bind(G.sensor_conn(spark, sf_dir), value=spoiled).select("uid", "value")
+    return bind(files.spread(G.sensor_conn(spark, sf_dir)), value=spoiled).select("uid", "value")
 
 
 SENSOR_OUTCOMES = """

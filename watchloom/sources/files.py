@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 SEPARATOR = "\x01"  # field separator of plain text tables
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores where the input has fewer files than these, before work that is dear per row.
+
+    A file of one row group is read by one task, whatever the split size. A table
+    of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def log_file(spark: SparkSession, path: str) -> DataFrame:
     """Text lines, one row each (column ``value``)."""
     return spark.read.text(path)
