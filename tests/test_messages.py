@@ -119,6 +119,7 @@ def finding(**changes):
     return json.dumps({k: v for k, v in event.items() if v != "gone"})
 
 
+DEVICE = {"hostname": "h", "ip": "i", "name": "n", "region": "r", "type_id": 2, "uid": "u"}
 EVENTS = [
     (finding(), "SUCCESS", "Detection Finding", None),
     (finding(time="17", message=5), "SUCCESS", "Detection Finding", None),
@@ -145,6 +146,24 @@ EVENTS = [
     (finding(resources=[{"owner": {"name": "n"}}]), "SKIPPED", "Detection Finding", "invalid: resources"),
     (finding(observables=[{"name": "n", "type_id": 1}, None]), "SKIPPED", "Detection Finding",
      "invalid: observables"),
+    # Types and ids of children of objects.
+    (finding(finding_info={"title": "t", "uid": "u", "created_time": "soon"}), "SKIPPED", "Detection Finding",
+     "invalid: finding_info"),
+    (finding(finding_info={"title": "t", "uid": "u", "created_time": "17", "created_time_dt": "2024-01-01T00:00:00Z",
+                           "types": ["x"], "analytic": {"name": "n", "uid": "u", "type_id": 3}}),
+     "SUCCESS", "Detection Finding", None),
+    (finding(finding_info={"title": ["t"], "uid": "u"}), "SKIPPED", "Detection Finding", "invalid: finding_info"),
+    (finding(finding_info={"title": "t", "uid": "u", "types": "x"}), "SKIPPED", "Detection Finding", "invalid: finding_info"),
+    (finding(finding_info={"title": "t", "uid": "u", "analytic": {"name": "n", "uid": "u", "type_id": "x"}}), "SKIPPED",
+     "Detection Finding", "invalid: finding_info"),
+    (finding(observables=[{"name": "n", "type_id": 77}]), "SKIPPED", "Detection Finding", "invalid: observables"),
+    (finding(observables=[{"name": "n", "type_id": 30, "value": 5}]), "SUCCESS", "Detection Finding", None),
+    (finding(observables=[{"name": "n", "type_id": 1, "value": {}}]), "SKIPPED", "Detection Finding", "invalid: observables"),
+    (finding(metadata={"product": {"vendor_name": "v"}, "sequence": "x"}), "SKIPPED", "Detection Finding", "invalid: metadata"),
+    (finding(metadata={"product": {"vendor_name": "v", "lang": [1]}}), "SKIPPED", "Detection Finding", "invalid: metadata"),
+    (finding(evidences=[{"device": {**DEVICE, "type_id": 11}}]), "SUCCESS", "Detection Finding", None),
+    (finding(evidences=[{"device": {**DEVICE, "type_id": 12}}]), "SKIPPED", "Detection Finding", "invalid: evidences"),
+    (finding(evidences=[{"device": {**DEVICE, "is_managed": "maybe"}}]), "SKIPPED", "Detection Finding", "invalid: evidences"),
     ("[]", "ERROR", "Unknown", "not an object"),
     ("null", "ERROR", "Unknown", "not an object"),
     ("{x", "ERROR", "Unknown", "invalid JSON"),

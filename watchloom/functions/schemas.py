@@ -3,8 +3,8 @@
 ``name:type`` is optional, ``name:type!`` required. Types: ``str int float bool ts``
 as stored columns; ``enum(x)`` an id out of ``values.ENUM_CAPTIONS[x]``; ``list`` any
 array; ``any`` any value; a capitalised name an object, in brackets an array of
-objects. Objects name only the children that carry a rule: required ones and
-objects in turn. The value of an object is kept whole.
+objects. Objects name the children that carry a rule: required ones, objects in turn,
+and scalars whose type is checked. The value of an object is kept whole.
 """
 
 from __future__ import annotations
@@ -96,48 +96,54 @@ EVENT_DEFAULTS = {
     },
 }
 
-# Rules inside objects (fixed values): required children and child objects.
+# Rules inside objects (fixed values): required children, child objects, types of scalars.
 OBJECT_RULES = {
-    "Account": "name! type_id! uid!",
+    "Account": "name:str! type:str type_id:enum(account_type_id)! uid:str! labels:list",
     "Actor": "user:User",
-    "Analytic": "name! type_id! uid!",
+    "Analytic": "category:str desc:str name:str! type:str type_id:int! uid:str! version:str",
     "Api": "operation! request:Request response:Response service:Service",
     "Cloud": "provider! account:Account",
     "Compliance": "",
     "Container": "name! uid! hash:Fingerprint image:Image",
-    "Device": "hostname! ip! name! region! type_id! uid! image:Image network_interfaces:[Interface] os:System",
+    "Device": "hostname! ip! name! region! type_id:enum(device_type_id)! uid! image:Image "
+    "network_interfaces:[Interface] os:System is_managed:bool risk_level_id:enum(risk_level_id)",
     "DnsQuery": "hostname!",
-    "Endpoint": "",
+    "Endpoint": "ip:str port:int hostname:str domain:str mac:str subnet:str vlan:str",
     "Enrichment": "data! name! value!",
     "Evidence": "api:Api device:Device query:DnsQuery resources:[Resource]",
-    "Extension": "name! uid! version!",
+    "Extension": "name:str! uid:str! version:str!",
     "Factor": "",
     "File": "name! type_id!",
-    "FindingInformation": "title! uid! analytic:Analytic kill_chain:[Phase] related_analytics:[Analytic] "
-    "related_events:[RelatedEvent] attacks:[Attack]",
+    "FindingInformation": "title:str! uid:str! analytic:Analytic kill_chain:[Phase] related_analytics:[Analytic] "
+    "related_events:[RelatedEvent] attacks:[Attack] created_time:int created_time_dt:ts data_sources:list desc:str "
+    "first_seen_time:int first_seen_time_dt:ts last_seen_time:int last_seen_time_dt:ts modified_time:int "
+    "modified_time_dt:ts src_url:str types:list",
     "Fingerprint": "algorithm_id! value!",
     "Attack": "technique:Technique",
     "Image": "name! uid!",
     "Interface": "hostname! ip! mac! name! type_id!",
     "Article": "os:System! product:Product severity! title! uid!",
     "Logger": "log_name! log_provider! name! product:Product! uid! device:Device",
-    "Metadata": "product:Product! loggers:[Logger] extensions:[Extension]",
-    "Observable": "name! type_id! reputation:Reputation",
+    "Metadata": "product:Product! loggers:[Logger] extensions:[Extension] correlation_uid:str event_code:str uid:str "
+    "labels:list log_level:str log_name:str log_provider:str log_version:str logged_time:ts modified_time:ts "
+    "original_time:str processed_time:ts profiles:list sequence:int tenant_uid:str version:str",
+    "Observable": "name:str! type:str type_id:enum(observable_type_id)! value:str reputation:Reputation",
     "Phase": "phase! phase_id!",
     "Process": "",
-    "Product": "vendor_name!",
-    "RelatedEvent": "uid! attacks:[Attack] observables:[Observable]",
+    "Product": "vendor_name:str! lang:str name:str path:str cpe_name:str url_string:str uid:str version:str",
+    "RelatedEvent": "uid:str! type:str type_uid:int attacks:[Attack] observables:[Observable]",
     "Remediation": "desc! kb_article_list:[Article]",
     "Reputation": "provider! base_score! score_id!",
     "Request": "uid! containers:[Container]",
     "Resource": "owner:User",
     "Response": "containers:[Container]",
-    "Service": "name! uid! version!",
+    "Service": "name:str! uid:str! version:str! labels:list",
     "Session": "",
     "System": "name! type_id!",
-    "Technique": "name! uid!",
+    "Technique": "name:str! src_url:str uid:str!",
     "Token": "",
-    "User": "name! uid! account:Account",
+    "User": "name:str! uid:str! account:Account uid_alt:str domain:str email_addr:str groups:list type:str type_id:int "
+    "credential_uid:str",
     "Vulnerability": "remediation:Remediation",
 }
 

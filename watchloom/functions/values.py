@@ -281,3 +281,11 @@ ENUM_CAPTIONS = {
         200300: "Unknown", 200301: "Create", 200302: "Update", 200303: "Close", 200399: "Other",
     },
 }
+
+# Ids that a child of an object may have (fixed values).
+OBJECT_ENUMS = {
+    "account_type_id": [*range(0, 11), 99],
+    "device_type_id": [*range(0, 12), 99],
+    "observable_type_id": [*range(0, 11), *range(20, 31), 99],
+    "risk_level_id": [*range(0, 5)],
+}

@@ -29,7 +29,7 @@ _TESTS = {
 
 
 def _object_breaks(root: str, names: tuple[str, ...], object_name: str) -> str:
-    """A present object lacks a required child, or a child object breaks its rules."""
+    """A present object lacks a required child, or a child is not accepted."""
     required, nested = [], []
     for rule in S.OBJECTS[object_name]:
         address = (*names, rule.name)
@@ -37,6 +37,11 @@ def _object_breaks(root: str, names: tuple[str, ...], object_name: str) -> str:
             required.append(J.missing(root, *address))
         if rule.kind in ("object", "objects"):
             nested.append(_if_there(root, address, _nested_breaks(root, address, rule)))
+        elif rule.kind == "enum":
+            ids = V.OBJECT_ENUMS.get(rule.detail) or V.ENUM_CAPTIONS[rule.detail]
+            nested.append(_if_there(root, address, J.not_one_of(root, address, ids)))
+        elif rule.kind != "any":
+            nested.append(_if_there(root, address, _TESTS[rule.kind](root, *address)))
     # What has a required child is an object; only without one the kind is looked at.
     tests = (required or [J.not_object(root, *names)]) + nested
     return f"(not {J.missing(root, *names)} and ({' or '.join(tests)}))"
