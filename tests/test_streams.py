@@ -75,6 +75,20 @@ def test_run_model_records_success_and_failure(spark, tmp_path):
     assert spark.read.parquet(results).schema.simpleString() == P.empty_run_results(spark).schema.simpleString()
 
 
+def test_one_invocation_over_several_models(spark, tmp_path):
+    results = str(tmp_path / "results")
+    models = {
+        "a": lambda: spark.range(7), "broken": lambda: spark.range(3).select(F.raise_error(F.lit("no")).alias("x")),
+        "none": lambda: spark.range(0), "b": lambda: spark.range(5),
+    }
+    failed = P.run_models(spark, models, str(tmp_path / "m"), results)
+    rows = {r["table_name"]: r for r in spark.read.parquet(results).collect()}
+    assert list(failed) == ["broken"] and len({r["invocation_id"] for r in rows.values()}) == 1
+    assert {k: (r["status"], r["rows_affected"]) for k, r in rows.items()} == {
+        "a": ("success", 7), "broken": ("error", 0), "none": ("success", 0), "b": ("success", 5)}
+    assert spark.read.parquet(str(tmp_path / "m" / "b")).count() == 5
+
+
 def test_export(spark, tmp_path):
     finding = spark.createDataFrame(
         [("high", "rdp login", "10.0.0.1", 0.75, "text")],

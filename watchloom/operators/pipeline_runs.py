@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.expressions import as_datetime, time_literal
@@ -197,19 +197,43 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, path: str) -> int:
+    """Full rebuild of a stored model; its rows are counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
+
+
+def run_models(
+    spark: SparkSession, models: Mapping[str, Callable[[], DataFrame]], root: str, results_path: str
+) -> dict[str, str]:
+    """One invocation over several models, stored below ``root``; a broken one does not keep the others from being built.
+
+    Gives the error text of each model that failed.
+    """
+    invocation, failed = uuid.uuid4().hex, {}
+    for name, build in models.items():
+        try:
+            run_model(spark, name, build, f"{root}/{name}", results_path, invocation)
+        except Exception as error:  # noqa: BLE001 - recorded, and told to the caller
+            failed[name] = str(error)
+    return failed
+
+
 def run_model(
-    spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str, results_path: str
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str, results_path: str,
+    invocation: str | None = None,
 ) -> None:
-    """Builds one model, stores it and appends how that went."""
+    """Builds one model, stores it in one pass and appends how that went."""
     started, clock, status, rows = datetime.now(timezone.utc), time.monotonic(), "success", 0
     try:
-        rows = materialize(build(), path).count()
+        rows = materialize_counted(build(), path)
     except Exception:
         status = "error"
         raise
     finally:
         record = {
-            "invocation_id": uuid.uuid4().hex,
+            "invocation_id": invocation or uuid.uuid4().hex,
             "unique_id": f"model.{name}",
             "table_name": name,
             "resource_type": "model",

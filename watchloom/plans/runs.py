@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from watchloom.functions import mapping as M
@@ -209,3 +211,21 @@ from run_results where created_at >= date '1994-09-28' group by 1""")
 def _(spark, sf_dir):
     coverage = P.test_coverage(G.run_results(spark, sf_dir), AS_OF, WIDE)
     return _day_as_text(P.materialize(coverage, scratch_path(spark, "model")))
+
+
+@query("run_model", """
+select 'model' as resource_type, 'success' as status, 2::bigint as resource_count,
+  (select count(*) from security_events) + (select count(distinct src_ip) from security_events) as total_rows_affected
+union all select 'model', 'error', 1, 0""")
+def _(spark, sf_dir):
+    """Three models built and recorded, one of them broken; the run statistics of the records."""
+    root, results = scratch_path(spark, "models"), scratch_path(spark, "run-results")
+    P.run_models(spark, {
+        "events": lambda: G.security_events(spark, sf_dir),
+        "sources": lambda: G.security_events(spark, sf_dir).select("src_ip").distinct(),
+        "broken": lambda: G.security_events(spark, sf_dir).select(F.raise_error(F.lit("no")).alias("x")),
+    }, root, results)
+    recorded = spark.read.parquet(results)
+    stats = P.run_stats(recorded, datetime.now(timezone.utc).replace(tzinfo=None))
+    return stats.groupBy("resource_type", "status").agg(
+        F.sum("resource_count").alias("resource_count"), F.sum("total_rows_affected").alias("total_rows_affected"))
