@@ -58,6 +58,13 @@ def test_catalog(spark, tmp_path):
     assert spark.sql("select count(*) from sensor_conn").first()[0] == 3
 
 
+def test_described_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    rows = [tuple(r) for r in catalog.describe({"t": df, "none": df.limit(0)}).collect()]
+    assert rows == [("t", "a", 1, "int", 2), ("t", "b", 2, "string", 1), ("none", "a", 1, "int", 0), ("none", "b", 2, "string", 0)]
+    assert catalog.sample_rows(df).collect() == catalog.sample_rows(df.repartition(3)).collect()
+
+
 def test_run_model_records_success_and_failure(spark, tmp_path):
     results = str(tmp_path / "results")
     P.run_model(spark, "numbers", lambda: spark.range(4), str(tmp_path / "m"), results)

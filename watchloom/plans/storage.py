@@ -60,15 +60,26 @@ def _(spark, sf_dir):
     return counted
 
 
-@query("introspect_schema", """
-unpivot (select 'events' as table_name, count(event_id) as event_id, count(ts) as ts, count(user_id) as user_id,
-    count(event_type) as event_type, count(value) as value, count(props) as props from events)
-  on event_id, ts, user_id, event_type, value, props into name column_name value filled_rows
-union all
-unpivot (select 'pages' as table_name, count(page_id) as page_id, count(url) as url, count(html) as html from pages)
-  on page_id, url, html into name column_name value filled_rows""")
+ALL_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+_DESCRIBED = " union all ".join(
+    f"select * from (unpivot (select '{t}' as table_name, r.* from (select count(columns(*)) from {t}) r) "
+    f"on columns(* exclude (table_name)) into name column_name value filled_rows) join (unpivot (select '{t}' as table_name, r.* "
+    f"from (select typeof(any_value(columns(*))) from {t}) r) on columns(* exclude (table_name)) "
+    "into name column_name value type_name) using (table_name, column_name)"
+    for t in ALL_TABLES
+)
+
+
+@query("introspect_schema", f"""
+select table_name, column_name, filled_rows, case type_name when 'BIGINT' then 'bigint' when 'INTEGER' then 'int'
+  when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'FLOAT[]' then 'array<float>'
+  when 'TIMESTAMP' then 'timestamp_ntz' else lower(type_name) end as data_type
+from ({_DESCRIBED})""")
 def _(spark, sf_dir):
-    return catalog.describe({n: G.table(spark, sf_dir, n) for n in ("events", "pages")})
+    """Columns of all given tables with their types and filled rows."""
+    return catalog.describe({n: G.table(spark, sf_dir, n) for n in ALL_TABLES}).drop("position")
 
 
 @query("src_multi_topic", """

@@ -45,12 +45,22 @@ def register(spark: SparkSession, tables: Mapping[str, str]) -> None:
 
 
 def describe(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Table, column, position and number of filled rows; one counting pass per table."""
+    """Table, column, position (from 1), type and number of filled rows; one counting pass per table."""
     rows = None
     for name, df in tables.items():
         filled = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot(
             [], df.columns, "column_name", "filled_rows"
         )
-        part = filled.select(F.lit(name).alias("table_name"), "column_name", "filled_rows")
+        places = F.create_map(*(F.lit(x) for n, c in enumerate(df.columns, 1) for x in (c, n)))
+        types = F.create_map(*(F.lit(x) for pair in df.dtypes for x in pair))
+        part = filled.select(
+            F.lit(name).alias("table_name"), "column_name", places[F.col("column_name")].alias("position"),
+            types[F.col("column_name")].alias("data_type"), "filled_rows",
+        )
         rows = part if rows is None else rows.unionByName(part)
     return rows
+
+
+def sample_rows(df: DataFrame, n: int = 1) -> DataFrame:
+    """A few rows as JSON text, the same ones in every run: those of least hash."""
+    return df.select(F.to_json(F.struct("*")).alias("row")).orderBy(F.xxhash64("row"), "row").limit(n)
