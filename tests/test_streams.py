@@ -104,6 +104,11 @@ def test_export(spark, tmp_path):
     K.export_findings(finding, str(tmp_path / "t"), "text")
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "t")).collect())
     assert "Priority: HIGH" in text and "Confidence: 75.0%" in text
+    assert "Status: Partial" in text and "Documents Analyzed: 0" in text and "Recommended Actions:\nNone" in text
+    whole = finding.select("*", F.lit(3).alias("documents"), F.lit("p").alias("pattern_summary"), F.lit("b").alias("business_impact"),
+                           F.array(F.lit("do"), F.lit("so")).alias("recommended_actions"))
+    text = K.finding_report(whole).first()[0]
+    assert "Status: Complete" in text and "1. do\n2. so\n\n=== ANALYSIS METADATA ===\nCompleted Stages: 3\nFull Analysis: Yes" in text
     with pytest.raises(ValueError):
         K.export_findings(finding, str(tmp_path / "x"), "pdf")
 

@@ -105,7 +105,7 @@ def _(spark, sf_dir):
     return D.conn_counters(G.sensor_conn(spark, sf_dir))
 
 
-@query("triage_findings", """
+TRIAGE = """
 with t as (
   select src_ip, original_event_type as e, count(*) as n, min(time_dt) as first_at, max(time_dt) as last_at,
     case when e like '%exfiltration%' or e like '%hijack%' then 4
@@ -128,9 +128,11 @@ select case f.r when 4 then 'critical' when 3 then 'high' when 2 then 'medium' e
   concat(deciding, ' x ', replace(lead.e, '_', ' ')) as attack_pattern, time_start, time_end, indicators,
   round(0.5 + 0.5 * deciding / event_count, 4) as confidence_score, event_count, affected_services,
   concat(upper(priority), ': ', threat_type, ' from ', f.src_ip, ', ', event_count, ' events') as brief_summary
-from f join lead on lead.src_ip = f.src_ip and lead.k = 1""")
-def _(spark, sf_dir):
-    found = D.triage_findings(G.security_events(spark, sf_dir))
+from f join lead on lead.src_ip = f.src_ip and lead.k = 1"""
+
+
+def flat_findings(found):
+    """Findings as plain columns."""
     return found.select(
         "priority", "threat_type", "source_ip",
         "target_count",
@@ -144,6 +146,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("triage_findings", TRIAGE)
+def _(spark, sf_dir):
+    return flat_findings(D.triage_findings(G.security_events(spark, sf_dir)))
+
+
 @query("triage_targets", """
 select src_ip as source_ip, dst_ip as target_host, count(*) as events from security_events group by 1, 2""")
 def _(spark, sf_dir):

@@ -9,6 +9,7 @@ from watchloom.functions import values as V
 from watchloom.operators import detections as D
 from watchloom.operators import event_rules as R
 from watchloom.operators import normalize as N
+from watchloom.plans.detections import TRIAGE, flat_findings
 from watchloom.plans.mapping import EVENT_OUTCOMES, SENSOR_OUTCOMES, _event_json, _sensor_json
 from watchloom.plans.registry import query
 from watchloom.session import scratch_path
@@ -141,12 +142,13 @@ def _(spark, sf_dir):
     return files.stored_table(spark, path)
 
 
-@query("export_findings", """
-select src_ip as source_ip, count(*) as event_count from security_events group by 1""")
+@query("export_findings", TRIAGE)
 def _(spark, sf_dir):
+    """Findings written as JSON and read back with all columns."""
     path = scratch_path(spark, "findings")
-    K.export_findings(D.triage_findings(G.security_events(spark, sf_dir)), path)
-    return spark.read.schema("source_ip string, event_count bigint").json(path)
+    found = D.triage_findings(G.security_events(spark, sf_dir))
+    K.export_findings(found, path)
+    return flat_findings(spark.read.schema(found.schema).json(path))
 
 
 @query("sink_hourly_json", """

@@ -171,29 +171,54 @@ def write_hourly_json(df: DataFrame, path: str, time_col: str = "ts", type_col:
 
 
 def finding_report(findings: DataFrame) -> DataFrame:
-    """One text report per finding (column ``value``)."""
+    """One text report per finding (column ``value``) in four sections.
 
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{label}: "), value)
+    The later sections come from the columns ``documents``, ``pattern_summary``, ``confidence`` (context), ``business_impact``,
+    ``recommended_actions`` (analysis) and ``generated_at``, as far as the frame has them; a stage without a value is left open.
+    """
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in findings.columns else F.lit(None).cast(kind)
+
+    def line(label: str, value: Column, default: str = "Unknown") -> Column:
+        return F.concat(F.lit(f"{label}: "), F.coalesce(value, F.lit(default)))
 
-    confidence = F.format_string("%.1f%%", F.coalesce("confidence_score", F.lit(0.0)) * 100)
+    confidence = F.format_string("%.1f%%", F.coalesce(given("confidence_score", "double"), F.lit(0.0)) * 100)
+    actions = F.coalesce(given("recommended_actions", "array<string>"), F.array().cast("array<string>"))
+    numbered = F.array_join(F.transform(actions, lambda a, k: F.concat((k + 1).cast("string"), F.lit(". "), a)), "\n")
+    stages = [F.col("priority").isNotNull(), given("documents", "bigint").isNotNull(), given("business_impact", "string").isNotNull()]
+    done = sum((s.cast("int") for s in stages), F.lit(0))
+    whole = done == len(stages)
     return findings.select(
         F.concat_ws(
             "\n",
             F.lit("SOC SECURITY ANALYSIS REPORT"),
-            F.lit("=== THREAT ASSESSMENT ==="),
-            line("Priority", F.upper(F.coalesce("priority", F.lit("Unknown")))),
-            line("Threat Type", F.coalesce("threat_type", F.lit("Unknown"))),
-            line("Source IP", F.coalesce("source_ip", F.lit("Unknown"))),
+            line("Generated", given("generated_at", "string")),
+            line("Status", F.when(whole, "Complete").otherwise("Partial")),
+            F.lit("\n=== THREAT ASSESSMENT ==="),
+            line("Priority", F.upper("priority")),
+            line("Threat Type", F.col("threat_type")),
+            line("Source IP", F.col("source_ip")),
             line("Confidence", confidence),
-            line("Summary", F.coalesce("brief_summary", F.lit("None"))),
+            line("Summary", F.col("brief_summary"), "None"),
+            F.lit("\n=== HISTORICAL CONTEXT ==="),
+            line("Documents Analyzed", given("documents", "string"), "0"),
+            line("Pattern Analysis", given("pattern_summary", "string"), "None"),
+            line("Confidence", given("confidence", "string"), "Medium"),
+            F.lit("\n=== RECOMMENDATIONS ==="),
+            line("Business Impact", given("business_impact", "string"), "None specified"),
+            F.lit("Recommended Actions:"),
+            F.when(F.size(actions) > 0, numbered).otherwise("None"),
+            F.lit("\n=== ANALYSIS METADATA ==="),
+            line("Completed Stages", done.cast("string")),
+            line("Full Analysis", F.when(whole, "Yes").otherwise("No")),
         ).alias("value")
     )
 
 
 def export_findings(findings: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "json":
-        findings.write.json(path)
+        findings.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     elif fmt == "text":
         finding_report(findings).write.option("lineSep", "\n\n").text(path)
     else:
