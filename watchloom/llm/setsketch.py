@@ -20,8 +20,9 @@ maximum, and equal registers are as likely as the sets are similar.
    between different parts is lost.
 5. Verified links are joined to components.
 
-A cell of over ``BLOCK`` classes is cut into blocks, and each pair of blocks is
-a unit of work of its own.
+A cell of over ``BLOCK`` classes is cut into blocks. The first look takes each block
+with two hubs of the cell, so its work grows with the number of classes. The second
+takes pairs of blocks, but for pairs within the cell's largest part.
 
 Given rows: a null text, and one without words, has an empty set and links with
 nothing; repeated rows are copies, with one row each in the result; a row
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import components
@@ -222,30 +223,65 @@ def sketched(documents: DataFrame) -> DataFrame:
 UNIT = ["band", "cell", "one", "two"]
 
 
-def cells(classes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """(band, cell, one, two, block, cls, part): members of cells with two classes or more, once per unit of work.
-
-    With ``parts`` (cls, part), only cells that hold more than one part.
-    """
+def banded(classes: DataFrame) -> DataFrame:
+    """(band, cell, cls): the cell of each class in each band."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    light = classes.select("cls", band.alias("band"), "regs").select(
+    return classes.select("cls", band.alias("band"), "regs").select(
         "cls", "band", F.expr(f"substring(regs, band * {2 * ROWS} + 1, {2 * ROWS})").alias("cell"))
-    if parts is None:
-        sizes = light.groupBy("band", "cell").agg(F.count("*").alias("in_cell")).where("in_cell > 1")
-    else:
-        light = light.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-        sizes = light.groupBy("band", "cell").agg(
-            F.count("*").alias("in_cell"), F.min("part").alias("p"), F.max("part").alias("q")
-        ).where("p <> q").drop("p", "q")
-    blocks = F.ceil(F.col("in_cell") / BLOCK).cast("int")
-    members = light.join(sizes, ["band", "cell"]).withColumn("blocks", blocks)
+
+
+def blocks_for(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(BLOCK)).cast("int")
+
+
+def block_among(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("cls"), blocks).cast("int")
+
+
+def cells(classes: DataFrame) -> DataFrame:
+    """(band, cell, one, two, block, cls, part): members of cells with two classes or more, part null.
+
+    A block is a unit of work. Two hubs of a cell, the classes of least and greatest
+    number, are in all of its blocks, so that the parts of a group of copies in
+    different blocks meet; what they leave apart is for ``open_cells``.
+    """
+    light = banded(classes)
+    sizes = light.groupBy("band", "cell").agg(
+        F.count("*").alias("in_cell"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("in_cell > 1")
+    blocks = blocks_for(F.col("in_cell"))
+    is_hub = F.col("cls").isin(F.col("low"), F.col("high"))
+    homes = F.when(is_hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block_among(blocks)))
+    members = light.join(sizes, ["band", "cell"]).select("band", "cell", "cls", F.explode(homes).alias("block"))
+    return members.select(
+        "band", "cell", F.col("block").alias("one"), F.col("block").alias("two"), "block", "cls",
+        F.lit(None).cast("long").alias("part"))
+
+
+def open_cells(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """As ``cells``, for cells that hold more than one part of ``parts`` (cls, part), by pairs of blocks.
+
+    The largest part of a cell is cut into blocks of its own, of which no two are
+    compared: they hold no pair of different parts.
+    """
+    light = banded(classes).join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    sizes = (
+        light.groupBy("band", "cell", "part").agg(F.count("*").alias("n"))
+        .groupBy("band", "cell").agg(
+            F.sum("n").alias("in_cell"), F.max(F.struct("n", "part")).alias("largest"))
+        .select("band", "cell", "in_cell", F.col("largest.part").alias("main"), F.col("largest.n").alias("in_main"))
+        .where("in_cell > in_main")
+    )
+    in_main = F.col("part") == F.col("main")
+    whole = F.col("in_cell") <= BLOCK  # the cell is one block
+    others, mains = blocks_for(F.col("in_cell") - F.col("in_main")), blocks_for(F.col("in_main"))
+    block = F.when(whole, 0).when(in_main, others + block_among(mains)).otherwise(block_among(others))
+    last = F.when(whole, 0).when(in_main, others - 1).otherwise(others + mains - 1)
     members = (
-        members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        light.join(sizes, ["band", "cell"])
+        .select("band", "cell", "cls", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
         .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     )
-    part = F.lit(None).cast("long") if parts is None else F.col("part")
-    return members.select(*UNIT, "block", "cls", part.alias("part"))
+    return members.select(*UNIT, "block", "cls", "part")
 
 
 def in_units(members: DataFrame, details: DataFrame) -> DataFrame:
@@ -409,9 +445,9 @@ def groups(documents: DataFrame) -> DataFrame:
     asked = first.select(F.col("a").alias("cls")).unionAll(first.select("b"))
     links = stored(verified(first, stored(texts(asked), "texts")), "first-links")
     parts = stored(components(links).select(F.col("node").alias("cls"), F.col("root").alias("part")), "parts")
-    open_cells = stored(cells(classes, parts), "open-cells")
-    sets = stored(elements(texts(open_cells.select("cls"))), "sets")
-    more = stored(remaining(in_units(open_cells, sets)), "more-links")
+    still_open = stored(open_cells(classes, parts), "open-cells")
+    sets = stored(elements(texts(still_open.select("cls"))), "sets")
+    more = stored(remaining(in_units(still_open, sets)), "more-links")
     roots = components(links.unionAll(more))
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component"))
