@@ -2,15 +2,17 @@
 
 Each match of the split pattern is encoded on its own by the tokenizers library's
 model, over characters: every byte has a character of its own in the alphabet
-of the vocabulary. A batch holds far fewer different matches than matches, so each
-different one is encoded once and the ids are laid out by table lookup.
+of the vocabulary. Arrow cuts the texts where a match ends in any text, into stretches of
+one match or a few; a batch holds far fewer different stretches than stretches, so each
+different one is split and encoded once, remembered for later batches, and the ids are
+laid out by table lookup.
 Decoding maps the characters back to bytes. A character may be split over
 several tokens, so ids decode to bytes, and offsets count bytes and characters:
 a token that ends inside a character ends, in characters, before it.
 
 Given rows: null and empty texts have no tokens and decode to empty bytes;
 repeated rows are encoded alike; a text of any length is encoded whole. Special
-tokens that occur in a text are ordinary text.
+tokens that occur in a text are ordinary text, or their ids if that is asked for (``added``).
 """
 
 from __future__ import annotations
@@ -24,16 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from watchloom.llm.words import pieces
+from watchloom.llm.words import pieces, whole
 from watchloom.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
-KNOWN_MATCHES = 300_000  # that a task remembers from one batch to the next
+KNOWN_MATCHES = 600_000  # that a task remembers from one batch to the next
+CUT = "\x00"
+# The usual pattern ends a match between a letter and one of these, and before a space with one of those.
+ENDS = r"(\pL)([\x01-\x40\x5B-\x60\x7B-\x7F])"
+BEGINS = r"([^\x00]) ([!-~\pL\pN])"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,10 +53,14 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder over one vocabulary file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         tokenizer = Tokenizer.from_file(path)
         self.tokenize = tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
+        self.usual = pattern == public_tokenizers.PATTERN
+        self.added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.around_added = f"({'|'.join(map(regex.escape, longest_first))})" if self.added else None
         alphabet = byte_alphabet()
         self.to_alphabet = str.maketrans({chr(b): c for c, b in alphabet.items()})
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
@@ -65,42 +76,66 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.firsts, self.sizes = array("I"), array("q"), array("q")
+        for token, number in self.added.items():
+            self._learn(token, [number])
+
+    def _learn(self, stretch: str, ids: list[int]) -> int:
+        number = self.known[stretch] = len(self.known)
+        self.firsts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return number
 
     def match_ids(self, match: str) -> list[int]:
         """Ids of one match, by way of its bytes' characters."""
-        return [t.id for t in self.tokenize(match.encode().decode("latin-1").translate(self.to_alphabet))]
-
-    def _numbers(self, matches: list[str]) -> np.ndarray:
-        """Place of each match in the tables of what is known."""
-        known, out = self.known, []
-        for match in matches:
-            number = known.get(match)
+        raw = match if match.isascii() else match.encode().decode("latin-1")
+        return [t.id for t in self.tokenize(raw.translate(self.to_alphabet))]
+
+    def _numbers(self, stretches: list[str]) -> np.ndarray:
+        """Place of each stretch in the tables of what is known."""
+        find, split, match_ids, out = self.known.get, self.split, self.match_ids, []
+        for stretch in stretches:
+            number = find(stretch)
             if number is None:
-                ids = self.match_ids(match)
-                number = known[match] = len(known)
-                self.firsts.append(len(self.flat))
-                self.sizes.append(len(ids))
-                self.flat.extend(ids)
+                number = self._learn(stretch, [i for match in split(stretch) for i in match_ids(match)])
             out.append(number)
         return np.array(out, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, starts): text i has ids[starts[i]:starts[i + 1]]."""
-        matches, counts = [], np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            found = self.split(text)
-            counts[i] = len(found)
-            matches.extend(found)
-        if not matches:
+    def _stretches(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(stretches, starts): text i has those of starts[i]:starts[i + 1]; none reaches over the end of a match."""
+        apart = f"{CUT}|{self.around_added}" if self.around_added else CUT
+        if self.usual and not pc.any(pc.match_substring_regex(texts, apart)).as_py():
+            texts = pc.replace_substring_regex(texts, ENDS, r"\1" + CUT + r"\2")
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, BEGINS, r"\1" + CUT + r" \2"), CUT)
+            flat, starts = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+        else:
+            found, ends = [], [0]
+            parts_of = regex.compile(self.around_added).split if self.around_added else lambda text: [text]
+            for text in texts.to_pylist():
+                for part in parts_of(text):
+                    found.extend([part] if part in self.added else self.split(part))
+                ends.append(len(found))
+            flat, starts = pa.array(found, pa.large_string()), np.array(ends, dtype=np.int64)
+        kept = np.asarray(pc.greater(pc.binary_length(flat), 0), dtype=bool)
+        if not kept.all():  # of empty texts and of texts that begin with a cut
+            starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+            flat = flat.filter(pa.array(kept))
+        return flat, starts
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, starts): text i has ids[starts[i]:starts[i + 1]]; null is empty."""
+        given = whole(texts) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        stretches, starts = self._stretches(pc.fill_null(given, "").cast(pa.large_string()))
+        if not len(stretches):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.known) > KNOWN_MATCHES:
             self._forget()
-        coded = pa.array(matches, type=pa.large_string()).dictionary_encode()
+        coded = stretches.dictionary_encode()
         places = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
         firsts, sizes = np.array(self.firsts, dtype=np.int64)[places], np.array(self.sizes, dtype=np.int64)[places]
         ends = np.cumsum(sizes)
         ids = np.array(self.flat, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(firsts - (ends - sizes), sizes)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.concatenate([[0], ends])[starts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens; characters that tokens split come together again."""
@@ -117,8 +152,8 @@ class Codec:
 
 
 @functools.cache
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, added: bool = False) -> Codec:
+    return Codec(path, pattern, added)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -158,8 +193,7 @@ def encoded(documents: DataFrame, outputs: tuple[str, ...] = ("ids", "byte_ends"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for piece in pieces(batches, "text"):
-            texts = texts_of(piece.column("text"))
-            ids, starts = coder.encode(texts)
+            ids, starts = coder.encode(piece.column("text"))
             parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:])]
             columns = []
             spots = None
@@ -168,7 +202,7 @@ def encoded(documents: DataFrame, outputs: tuple[str, ...] = ("ids", "byte_ends"
                 if name == "ids":
                     values = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
                 elif name in ("byte_ends", "char_ends"):
-                    spots = spots or [coder.offsets(t, p) for t, p in zip(texts, parts)]
+                    spots = spots or [coder.offsets(t, p) for t, p in zip(texts_of(piece.column("text")), parts)]
                     values = pa.array([s[name == "char_ends"] for s in spots], pa.list_(kinds[name]))
                 elif name == "decoded":
                     values = pa.array(raw, pa.binary())

@@ -13,7 +13,8 @@ and ``block`` the blocks of a file; together they give the order.
 
 Given rows: documents are in order of ``doc_id`` with null first; rows of the
 same id are in order of their text's hash. Null and empty texts have the end id
-alone. An empty table gives an empty file set.
+alone. An added token of the vocabulary that occurs in a text is encoded as its id, as
+the tokenizers library does. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from watchloom.llm.bytebpe import VOCABULARY, codec, texts_of
+from watchloom.llm.bytebpe import VOCABULARY, codec
 from watchloom.llm.words import pieces
 from watchloom.session import ship_package
 
@@ -95,7 +96,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
     ordered = given.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(vocabulary, pattern)
+        coder = codec(vocabulary, pattern, added=True)
         part, block = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         sizes: list[np.ndarray] = []
@@ -108,8 +109,8 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end_id
                 [dict(zip(BLOCKS.names, (part, block, doc_ids, np.concatenate(sizes), *packed)))], schema=ARROW
             )
 
-        for piece in pieces(batches, "text", 1 << 20):
-            tokens, starts = coder.encode(texts_of(piece.column("text")))
+        for piece in pieces(batches, "text", 2 << 20):
+            tokens, starts = coder.encode(piece.column("text"))
             n = np.diff(starts)
             with_end = np.full(len(tokens) + len(n), end_id, dtype=np.uint32)
             with_end[np.arange(len(tokens)) + np.repeat(np.arange(len(n)), n)] = tokens
