@@ -75,7 +75,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.firsts, self.sizes = array("I"), array("q"), array("q")
+        self.flat, self.firsts, self.sizes = array("I"), array("i"), array("i")
         for token, number in self.added.items():
             self._learn(token, [number])
 
@@ -97,9 +97,11 @@ class Codec:
         for stretch in stretches:
             number = find(stretch)
             if number is None:
-                number = self._learn(stretch, [i for match in split(stretch) for i in match_ids(match)])
+                one = self.usual and stretch.isascii() and stretch.removeprefix(" ").isalpha()
+                ids = match_ids(stretch) if one else [i for match in split(stretch) for i in match_ids(match)]
+                number = self._learn(stretch, ids)
             out.append(number)
-        return np.array(out, dtype=np.int64)
+        return np.array(out, dtype=np.int32)
 
     def _stretches(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(stretches, starts): text i has those of starts[i]:starts[i + 1]; none reaches over the end of a match."""
@@ -132,9 +134,11 @@ class Codec:
             self._forget()
         coded = stretches.dictionary_encode()
         places = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        firsts, sizes = np.array(self.firsts, dtype=np.int64)[places], np.array(self.sizes, dtype=np.int64)[places]
-        ends = np.cumsum(sizes)
-        ids = np.array(self.flat, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(firsts - (ends - sizes), sizes)]
+        firsts, sizes = (np.frombuffer(table, dtype=np.int32)[places] for table in (self.firsts, self.sizes))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat((firsts - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(self.flat, dtype=np.uint32)[at]
         return ids, np.concatenate([[0], ends])[starts]
 
     def decode(self, ids: np.ndarray) -> bytes:
