@@ -261,12 +261,14 @@ def tag_documents(docs: DataFrame, text_col: str = "document") -> DataFrame:
 
 
 def pattern_summary(
-    docs: DataFrame, distance_col: str | None = None, text_col: str = "document"
+    docs: DataFrame, distance_col: str | None = None, text_col: str = "document", by: Sequence[str] = (),
+    present: str | None = None,
 ) -> DataFrame:
-    """One row that sums up the patterns of all documents.
+    """One row that sums up the patterns of all documents, or one per value of the columns ``by``.
 
     Plain conditional counts: one map-side aggregation, whatever the number of
-    documents. Without distances the mean distance counts as 1.0.
+    documents of a group. Without distances the mean distance counts as 1.0. A row
+    whose column ``present`` is null stands for no document, as after an outer join.
     """
     text = F.lower(text_col)
 
@@ -279,8 +281,8 @@ def pattern_summary(
         return F.filter(F.array(*pairs), lambda p: p["n"] > 0)
 
     distance = F.avg(distance_col) if distance_col else F.lit(None).cast("double")
-    found = docs.agg(
-        F.count(F.lit(1)).alias("documents"),
+    found = docs.groupBy(*by).agg(
+        F.count(F.col(present) if present else F.lit(1)).alias("documents"),
         F.coalesce(distance, F.lit(1.0)).alias("mean_distance"),
         counts(V.INDICATOR_PHRASES).alias("indicators"),
         counts(V.TECHNIQUE_PHRASES).alias("techniques"),
@@ -316,6 +318,7 @@ def pattern_summary(
         )
     )
     return found.select(
+        *by,
         "documents",
         F.when(none, V.NO_HISTORY_SUMMARY)
         .when(top.isNull(), V.MIXED_SUMMARY)

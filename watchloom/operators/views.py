@@ -64,17 +64,19 @@ def type_uid_violations(events: DataFrame) -> DataFrame:
 
 
 def document_metadata(
-    docs: DataFrame, query: str, metadata: str = "metadata", index: str = "position"
+    docs: DataFrame, query: str | Column, metadata: str = "metadata", index: str = "position"
 ) -> DataFrame:
     """Document records with defaults for what the metadata lacks.
 
+    ``query`` is the text searched for, or a column of such texts.
     ``metadata`` is a map of texts or null; ``tags`` are taken from ``tags_list`` if
     the frame has one.
     """
     meta = F.col(metadata)
+    asked = F.lit(query) if isinstance(query, str) else query
     none = meta.isNull() | (F.size(meta) == 0)
     number = F.concat(F.lit("doc_"), F.col(index).cast("string"))
-    default_tags = F.array(F.lit(query.replace(" ", "_")))
+    default_tags = F.array(F.replace(asked, F.lit(" "), F.lit("_")))
     tags = F.coalesce(F.col("tags_list"), default_tags) if "tags_list" in docs.columns else default_tags
 
     def entry(name: str, default: Column) -> Column:
@@ -88,7 +90,7 @@ def document_metadata(
         entry("category", F.lit(V.DOCUMENT_CATEGORY)).alias("category"),
         F.when(none, default_tags).otherwise(tags).alias("tags"),
         F.when(none, F.lit(V.DOCUMENT_NO_INFO))
-        .otherwise(entry("additional_info", F.lit(V.DOCUMENT_QUERY_INFO + query)))
+        .otherwise(entry("additional_info", F.concat(F.lit(V.DOCUMENT_QUERY_INFO), asked)))
         .alias("additional_info"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from watchloom.functions import values as V
+from watchloom.operators import context as C
 from watchloom.operators import vectors as VX
 from watchloom.plans.registry import query
 from watchloom.session import scratch_path
@@ -92,6 +94,57 @@ def _(spark, sf_dir):
     return found.select("query_id", "rank", "distance", "match_id", "document")
 
 
+@query("context_records", f"""
+with n as (select doc_id, document, {_COUNTS} from incident_docs),
+p as (select q.doc_id as query_id, q.document as query, d.doc_id as match_id, d.document, {_SQUARES} as d
+  from n q, n d where q.doc_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by d, match_id) as rank from p),
+a as (select *, query_id // 50 % 40 as analysis_id from r where rank <= 2),
+b as (select *, row_number() over (partition by analysis_id order by query_id, rank) as place,
+  count(*) over (partition by analysis_id) as original, max(query_id) over (partition by analysis_id) as last_query from a),
+s as (select analysis_id, count(distinct query_id) as successful_searches from a group by 1),
+k as (select *, lower(document) as t from b where place <= 5),
+g as (select analysis_id, max(original) as original, count(*) as n,
+  count(*) filter (contains(t, 'brute force') or contains(t, 'password attack')) as brute,
+  count(*) filter (contains(t, 'data exfiltration')) as exfil,
+  count(*) filter (contains(t, 'ssh')) as ssh, count(*) filter (contains(t, 'rdp')) as rdp, avg(d) as mean_distance,
+  string_agg(match_id::varchar, ' ' order by place) as matches, string_agg(document, ' | ' order by place) as texts,
+  string_agg(d::bigint::varchar, ' ' order by place) as distances,
+  string_agg(replace(query, ' ', '_'), ' ' order by place) as tags, string_agg('doc_' || (rank - 1), ' ' order by place) as document_ids
+  from k group by 1)
+select g.analysis_id, n as total_documents_found, original as original_document_count, original > 5 as performance_limited,
+  successful_searches,
+  case when brute > 0 and brute >= exfil then 'Historical incidents show pattern of credential attacks with ' || brute || ' similar cases'
+    when exfil > 0 then 'Historical incidents show pattern of data exfiltration with ' || exfil || ' similar cases'
+    else '{V.MIXED_SUMMARY}' end as pattern_analysis,
+  if(ssh > 0 and rdp > 0, '{V.VECTORS_CORRELATION}RDP attacks, SSH exploitation', '') as threat_correlations,
+  '' as attack_progression_insights, if(brute > 0, '{V.CREDENTIAL_ACTION}', '{V.FALLBACK_ACTION}') as recommended_actions,
+  case when mean_distance < 0.3 then 'high' when mean_distance < 0.7 then 'medium' else 'low' end as confidence_assessment,
+  'Based on ' || n || ' historical incidents spanning multiple timeframes' as historical_timeline,
+  matches, texts, distances, tags, document_ids
+from g join s on g.analysis_id = s.analysis_id""")
+def _(spark, sf_dir):
+    """Forty analyses, whose searches are the texts of every fiftieth document."""
+    docs = G.incident_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "document")
+    stored = VX.embed_documents(docs, model=_character_counts)
+    searches = docs.filter(F.col("id") % 50 == 0).select(
+        F.col("id").alias("search_id"), F.expr("id div 50 % 40").alias("analysis_id"), F.col("document").alias("query")
+    )
+    records, _ = C.context_records(searches, stored, max_results=10, model=_character_counts)
+
+    def joined(column, separator=" "):
+        return F.array_join(column.cast("array<string>"), separator)
+
+    several = ("threat_correlations", "attack_progression_insights", "recommended_actions")
+    return records.withColumns({c: F.array_join(c, " | ") for c in several}).select(
+        "*",
+        joined(F.col("documents.match_id")).alias("matches"), joined(F.col("documents.document"), " | ").alias("texts"),
+        joined(F.transform("documents.distance", lambda d: d.cast("bigint"))).alias("distances"),
+        joined(F.flatten("documents.metadata.tags")).alias("tags"),
+        joined(F.col("documents.metadata.document_id")).alias("document_ids"),
+    ).drop("documents")
+
+
 @query("collection_count", "select count(*) as records from embeddings")
 def _(spark, sf_dir):
     return VX.collection_count(G.vectors(spark, sf_dir))
