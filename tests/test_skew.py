@@ -193,3 +193,19 @@ def test_embedding(spark):
 
 def _lengths(texts):
     return texts.fillna("").map(lambda t: [float(len(t))])
+
+
+def test_keep_newest_splits_rows_of_one_order_value(spark):
+    df = spark.range(20_000).selectExpr("id", "7L as at", "map('k', id) as extra")
+    kept = B.keep_newest(df, "at", 6_000)
+    ids = [r["id"] for r in kept.select("id").collect()]
+    assert len(ids) == len(set(ids)) == 6_000
+    assert sorted(ids) == sorted(r["id"] for r in B.keep_newest(df.repartition(7), "at", 6_000).select("id").collect())
+    # What is ranked in one task is one share of the hash, not the 20,000 rows.
+    shares = df.groupBy(F.shiftrightunsigned(F.xxhash64("id", "at"), 64 - B.TIE_BITS)).count()
+    assert shares.agg(F.max("count")).first()[0] < 50
+    same = spark.range(50).selectExpr("1 as a", "2L as at")
+    assert B.keep_newest(same, "at", 20).count() == 20 and B.keep_newest(same, "at", 60).count() == 50
+    mixed = spark.range(100).selectExpr("id", "if(id < 90, null, id div 5) as at")
+    assert sorted(r["id"] for r in B.keep_newest(mixed, "at", 5).collect()) == [95, 96, 97, 98, 99]
+    assert B.keep_newest(mixed, "at", 12).filter("at is null").count() == 2

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 from watchloom.functions.expressions import as_datetime, before, percent, since
 from watchloom.operators.skew import with_neighbours
@@ -79,28 +79,50 @@ def keep_newest(df: DataFrame, order: str, n: int, ranges: int = 1 << 20) -> Dat
     """The ``n`` rows with the highest ``order`` number (integral; null counts as lowest).
 
     Rows are counted in ``ranges`` even ranges of ``order``; from the top, the range
-    that the cut-off lies in is found on these counts. Rows above it are kept by a
-    filter, and only the rows of that one range are ranked.
+    that the cut-off lies in is found on these counts. The rows of that range are
+    counted again by their ``order`` and a share of their hash, and only those of one share
+    are ranked, by their hash: rows that tie in ``order`` are split however many they are, and
+    reruns keep the same ones.
     """
     if n <= 0:
         return df.limit(0)
     value = F.col(order).cast("decimal(38,0)")
     low, high = (df.agg(f(order).cast("decimal(38,0)").alias("v")).scalar() for f in (F.min, F.max))
     position = F.floor((value - low) * F.lit(ranges) / (high - low + F.lit(1))).cast("bigint")
-    placed = df.withColumn("_range", F.coalesce(position, F.lit(-1).cast("bigint")))
-    from_top = Window.orderBy(F.desc("_range"))  # over one row per range
-    counted = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_through", F.sum("_n").over(from_top)
-    )
-    cut = counted.filter(F.col("_through") >= n)
-    edge = F.coalesce(cut.agg(F.max("_range").alias("r")).scalar(), F.lit(-2).cast("bigint"))
-    wanted = cut.agg(F.max_by(F.lit(n) - (F.col("_through") - F.col("_n")), "_range").alias("w")).scalar()
-    above = placed.filter(F.col("_range") > edge)
-    ranked = placed.filter(F.col("_range") == edge).withColumn(
-        "_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(order)))
+    hashed = F.xxhash64(*(F.col(f.name) for f in df.schema.fields if not _unhashable(f.dataType)))
+    placed = df.withColumns({"_range": F.coalesce(position, F.lit(-1).cast("bigint")), "_hash": hashed})
+    above, edge, left = _cut_off(placed, ["_range"], F.lit(n))
+    # Null has a range of its own, so a stand-in for it is compared with nothing else.
+    shares = edge.withColumns({
+        "_value": F.coalesce(value, F.lit(0).cast("decimal(38,0)")), "_share": F.shiftrightunsigned("_hash", 64 - TIE_BITS)
+    })
+    within, shared, left = _cut_off(shares, ["_value", "_share"], left)
+    ranked = shared.withColumn("_rank", F.row_number().over(Window.orderBy("_hash")))
+    parts = [above, within, ranked.filter(F.col("_rank") <= left)]
+    return union_all([part.select(*df.columns) for part in parts])
+
+
+TIE_BITS = 12  # shares of rows with the same order
+
+
+def _unhashable(kind: DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
+def _cut_off(df: DataFrame, cells: list[str], wanted: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """(rows of the cells above the one in which the ``wanted``-th row lies, rows of that cell, how many it gives).
+
+    Cells come in descending order; the window runs over one row per cell.
+    """
+    place = F.struct(*cells)
+    counted = df.groupBy(place.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_through", F.sum("_n").over(Window.orderBy(F.desc("_cell")))
     )
-    within = ranked.filter(F.col("_rank") <= wanted).drop("_rank")
-    return above.unionByName(within).drop("_range")
+    cut = counted.filter(F.col("_through") >= wanted)
+    found = cut.agg(F.max(F.struct("_cell", (wanted - (F.col("_through") - F.col("_n"))).alias("left"))).alias("f")).scalar()
+    # Fewer rows than wanted: all of them lie above.
+    above = df.filter(F.coalesce(place > found["_cell"], F.lit(True)))
+    return above, df.filter(F.coalesce(place == found["_cell"], F.lit(False))), F.coalesce(found["left"], F.lit(0))
 
 
 def random_record(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
