@@ -35,3 +35,19 @@ def test_bytes_that_are_no_characters(spark, monkeypatch):
     text = F.expr("concat(cast(unhex('FF') as string), ' common common ', cast(unhex('FEFF') as string), 'x')")
     rows = hmm.score(spark.range(4).select(F.col("id").alias("doc_id"), text.alias("text")), F.col("doc_id") == 1, rounds=1)
     assert [(r["n_tokens"], r["n_known"]) for r in rows.collect()] == [(5, 5)] * 4
+
+
+def test_words_never_seen_cost_no_more_than_in_the_unigram(spark):
+    """Half of each text are words of its own; before, a state gave them far less than the unigram does."""
+    own = F.expr("concat_ws(' ', text, array_join(transform(sequence(1, 150), i -> concat('own', doc_id, 'x', i)), ' '))")
+    texts = topics(spark).select("doc_id", own.alias("text"))
+    rows = hmm.score(texts, F.col("doc_id") % 10 == 1, rounds=3, states=2).where("held_out").collect()
+    assert len(rows) == 30 and all(np.isfinite(r["score"]) for r in rows)
+    assert all(r["score"] > r["base_score"] - 0.05 * r["n_tokens"] for r in rows)
+
+
+def test_emissions_sum_to_one():
+    count = np.array([0.0, 4.0, 1.0, 5.0, 0.0])  # the last word was never seen
+    expected = np.array([0.0, 3.0, 0.5, 0.5, 0.0])
+    emits = hmm.smoothed(expected, count, expected.sum() + hmm.PRIOR, count.sum(), (count + 0.5).sum())
+    assert np.isclose(emits.sum(), 1) and np.isclose(emits[-1], 0.5 / (count + 0.5).sum())

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from watchloom.llm.stored import stored
+from watchloom.llm.stored import removed, stored, written
 from watchloom.llm.words import Words, pieces
 from watchloom.session import ship_package
 
@@ -49,6 +49,7 @@ SEGMENT = 256
 CHUNK_TOKENS = 200_000
 CHUNK_TEXT = 32 << 20  # bytes of text whose words share one list of words outside the classes
 PRIOR = 50.0  # tokens that the unigram shares count for in a state
+UNIGRAM = 0.1  # share of the unigram in every state
 END = ""  # no word is empty
 
 
@@ -222,6 +223,8 @@ class Others:
     listed: DataFrame  # chunk, at, word
     emits: DataFrame  # word and its emission per state
     mass: float  # sum of count + 0.5
+    seen: float  # sum of count
+    path: str | None = None  # of the step that holds the emissions, until the next round has replaced it
 
 
 def state_names(states: int) -> list[str]:
@@ -235,11 +238,11 @@ def first_others(rows: DataFrame, counts: DataFrame, known: Lexicon, states: int
             for k in range(states)]
     drawn = known.outside(counts).select(
         "word", (F.col("n") + 0.5).alias("m"), *(((F.col("n") + 0.5) * -F.log(u)).alias(s) for s, u in zip(names, even)))
-    sums = drawn.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("m", *names))).first()
-    others = np.array(sums[1:])
+    sums = drawn.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("m", *names)), F.count("*")).first()
+    others = np.array(sums[1:-1])
     total = first_shares(known.class_counts, states, seed).sum(axis=0) + others
     scaled = drawn.select("word", *((F.col(s) / F.lit(float(x))).cast("float").alias(s) for s, x in zip(names, total)))
-    return Others(stored(listed_words(rows), "listed-words"), scaled, float(sums[0])), others
+    return Others(stored(listed_words(rows), "listed-words"), scaled, float(sums[0]), float(sums[0]) - 0.5 * sums[-1]), others
 
 
 def with_others(rows: DataFrame, others: Others | None, states: int, run, schema) -> DataFrame:
@@ -354,6 +357,17 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return firsts, np.minimum(SEGMENT, lengths[text] - within * SEGMENT), within == 0
 
 
+def smoothed(expected, count, total, seen: float, mass: float):
+    """Emissions out of expected counts of a state (arrays or columns); they sum to 1 over all words and one never seen.
+
+    ``count`` is the word's own count, ``total`` the state's tokens and ``PRIOR``, ``seen`` all tokens, ``mass`` all
+    counts with 0.5 each. A state's share is mixed with the unigram's, and each word counts 0.5 more at the scale of
+    the whole corpus, as in the unigram score: a word never seen is as likely in every state as there.
+    """
+    share = (expected + count * (PRIOR / seen)) / total * (1 - UNIGRAM) + count * (UNIGRAM / seen)
+    return (share * seen + 0.5) / mass
+
+
 def improved(rows: DataFrame, model: Model, class_counts: np.ndarray) -> tuple[Model, float]:
     """A round in which all words outside the classes are taken as never seen."""
     model, _, likelihood = trained(rows, model, class_counts, None)
@@ -402,26 +416,32 @@ def trained(rows: DataFrame, model: Model, class_counts: np.ndarray,
 
     schema = "key int, word string, " + ", ".join(f"{n} double" for n in names)
     sent = with_others(rows.select("chunk", "row", "tokens"), others, states, run, schema)
-    summed = stored(sent.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names)), "expected-counts")
-    got = summed.where("key >= 0").toArrow()
+    # Sums of the model stay double, those of other words take single precision.
+    met = F.col("key") < 0
+    path = written(sent.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names)).select(
+        "key", "word", *(F.when(~met, F.col(n)).alias(f"model_{n}") for n in names),
+        *(F.when(met, F.col(n)).cast("float").alias(n) for n in names)), "expected-counts")
+    if others and others.path:
+        removed(rows.sparkSession, others.path)
+    summed = rows.sparkSession.read.parquet(path)
+    got = summed.where("key >= 0").select("key", *(F.col(f"model_{n}").alias(n) for n in names)).toArrow()
     size = len(model.emits)
     sums = np.zeros((size + states + 4, states))
     if got.num_rows:
         sums[got.column("key").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     shared.unpersist()
     mass = float((class_counts + 0.5).sum()) + (others.mass if others else 0.0)
+    seen = max(float(class_counts.sum()) + (others.seen if others else 0.0), 1.0)
     total = sums[:size].sum(axis=0) + sums[size + states + 3] + PRIOR
-    if others is None:
-        total = total - PRIOR + PRIOR * (class_counts + 0.5).sum() / mass
-    emits = (sums[:size] + PRIOR * (class_counts + 0.5)[:, None] / mass) / total
+    emits = smoothed(sums[:size], class_counts[:, None], total, seen, mass)
     moves = sums[size : size + states] + 0.1
     start, inner = sums[size + states] + 0.1, sums[size + states + 1] + 0.1
     better = Model(start / start.sum(), inner / inner.sum(), moves / moves.sum(axis=1, keepdims=True), emits)
     if others:
-        prior = (sum((F.col(n) for n in names), F.lit(0.5))) * F.lit(PRIOR / mass)  # a word's counts sum to its own count
-        found = summed.where("key = -1").select(
-            "word", *(((F.col(n) + prior) / F.lit(float(t))).cast("float").alias(n) for n, t in zip(names, total)))
-        others = replace(others, emits=found)
+        count = sum((F.col(n).cast("double") for n in names), F.lit(0.0))  # a word's counts sum to its own count
+        found = summed.where("key = -1").select("word", *(
+            smoothed(F.col(n).cast("double"), count, float(t), seen, mass).cast("float").alias(n) for n, t in zip(names, total)))
+        others = replace(others, emits=found, path=path)
     return better, others, float(sums[size + states + 2, 0])
 
 
