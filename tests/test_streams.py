@@ -117,3 +117,19 @@ def test_other_text_is_kept(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("plain",), ("",), (None,)], "value string")
     got = [r[0] for r in streams.with_data(df).select(F.to_json("data")).collect()]
     assert got == ['{"a":1}', '{"raw_message":"plain"}', "{}", "{}"]
+
+
+def test_batches_are_kept_without_parsed_documents(spark, sf_dir, tmp_path, monkeypatch):
+    """Kept documents took many times the room of the messages."""
+    from watchloom.operators import sensor as SN
+    from watchloom.sinks import tables as K
+
+    rows = [('{"conn": {"uid": "C%d", "proto": "tcp", "orig_bytes": %d}}' % (k, k),) for k in range(20)] + [("{bad",)]
+    judged = SN.judge_sensor(spark.createDataFrame(rows, "value string"))
+    held = []
+    first = K.kept
+    monkeypatch.setattr(K, "kept", lambda df: held.append(df.columns) or first(df))
+    K.route_sensor(judged, str(tmp_path), 0)
+    assert held and all("doc" not in columns for columns in held)
+    stored = K.read_table(spark, f"{tmp_path}/conn").select("uid", "proto", "orig_bytes").collect()
+    assert sorted(map(tuple, stored)) == sorted((f"C{k}", "tcp", k) for k in range(20))

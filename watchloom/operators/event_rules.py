@@ -81,12 +81,20 @@ def bad_fields(class_uid: int) -> str:
     return J.names_where(tests)
 
 
+def _document(value_col: str) -> Column:
+    names = dict.fromkeys(f.name for fields in S.EVENTS.values() for f in fields)
+    return F.from_json(value_col, ", ".join(f"`{n}` variant" for n in names))
+
+
+def parsed_again(judged: DataFrame, value_col: str = "value") -> DataFrame:
+    """Judged messages that were kept without ``doc``, with it."""
+    return bind(judged.drop("doc"), doc=_document(value_col))
+
+
 def judge_events(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """Adds ``doc`` (a struct of VARIANT fields), ``class_uid``, ``kind`` (class name),
     ``status`` and ``reason``."""
-    names = dict.fromkeys(f.name for fields in S.EVENTS.values() for f in fields)
-    layout = ", ".join(f"`{n}` variant" for n in names)
-    parsed = bind(messages, doc=F.from_json(value_col, layout))
+    parsed = bind(messages, doc=_document(value_col))
     # Only a JSON number selects a class: the text "2004" does not.
     uid = "doc.class_uid"
     unknown = f"{J.missing(uid)} or {J.not_one_of(uid, (), V.STORED_CLASSES)}"
