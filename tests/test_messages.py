@@ -206,3 +206,28 @@ def test_prune(spark):
     assert row["s"]["c"] == [""] and row["s"]["b"] is None
     assert row["gone"] is None and row["m"] == {"l": 0} and row["f"] is False
     assert VW.without_empty_columns(VW.prune(df)).columns == ["a", "s", "m", "f"]
+
+
+def interpreted_rules(df):
+    """Rule sets that stand in a generator, where a lambda keeps them from being compiled."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.split("\n") if "Generate inline" in line and "lambdafunction" in line]
+
+
+def test_rules_stand_in_projections(spark):
+    """Before, each rule was interpreted for every message."""
+    sent = messages(spark, ["{}"])
+    assert not interpreted_rules(SN.judge_sensor(sent).select("value", "status", "reason"))
+    assert not interpreted_rules(R.judge_events(sent).select("value", "status", "reason"))
+    # A filter on the outcome does not copy the rules below it.
+    stored = SN.judge_sensor(sent).filter("status = 'SUCCESS'")
+    assert stored._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") <= 1
+
+
+def test_sensor_outcomes_of_rare_values(spark):
+    texts = ['{"conn": {"duration": 1e400}}', '{"http": {"tags": [null]}}', '{"dns": {"AA": true, "aa": 1}}',
+             '{"conn": {"ts": 1e300, "uid": 5, "id.orig_p": "x"}}', '{"conn": {"duration": null, "uid": null}}']
+    got = {r["value"]: (r["status"], r["reason"]) for r in SN.judge_sensor(messages(spark, texts)).collect()}
+    assert got[texts[1]] == got[texts[2]] == ("SUCCESS", None)
+    assert got[texts[3]] == ("SKIPPED", "invalid: uid, id_orig_p")
+    assert got[texts[4]] == ("ERROR", "nothing to write")

@@ -129,7 +129,7 @@ def judge_events(messages: DataFrame, value_col: str = "value") -> DataFrame:
     )
     reason = F.coalesce(
         F.col("_problem"),
-        F.when(F.size("_bad") > 0, F.concat(F.lit("invalid: "), F.array_join("_bad", ", "))),
+        F.when(F.col("_bad") != "", F.concat(F.lit("invalid: "), "_bad")),
     )
     status = (
         F.when(F.col("_problem").isin("invalid JSON", "not an object"), "ERROR")
