@@ -56,8 +56,8 @@ def _nested_breaks(root: str, names: tuple[str, ...], field: S.Field) -> str:
 
 
 def _if_there(root: str, names: tuple[str, ...], breaks: str) -> str:
-    """Spares the test of a field that the document does not have, as most fields are."""
-    return f"(case when {J.value(root, *names)} is not null then {breaks} else false end)"
+    """Spares the test of a field that the document does not have, as most fields are; JSON null passes all tests."""
+    return f"(case when {J.missing(root, *names)} then false else {breaks} end)"
 
 
 def _field_breaks(root: str, field: S.Field) -> str:
@@ -119,8 +119,8 @@ def judge_events(messages: DataFrame, value_col: str = "value") -> DataFrame:
         parsed,
         _bad=per_class,
         kind=names.otherwise(F.coalesce(given_name, F.lit("Unknown"))),
-        # Looked at only for what is no event of a known class.
-        _problem=F.when(is_object & tail, "invalid JSON").when(
+        # Looked at only for what is no event of a known class, or may have text after its end.
+        _problem=F.when(tail & is_object, "invalid JSON").when(
             F.col("class_uid").isNull(),
             F.when(~is_object & F.try_parse_json(value_col).isNull(), "invalid JSON")
             .when(~is_object, "not an object")
