@@ -1,6 +1,9 @@
 """Words outside the broadcast classes have emission counts of their own."""
 
+import os
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from watchloom.llm import hmm
@@ -51,3 +54,43 @@ def test_emissions_sum_to_one():
     expected = np.array([0.0, 3.0, 0.5, 0.5, 0.0])
     emits = hmm.smoothed(expected, count, expected.sum() + hmm.PRIOR, count.sum(), (count + 0.5).sum())
     assert np.isclose(emits.sum(), 1) and np.isclose(emits[-1], 0.5 / (count + 0.5).sum())
+
+
+def test_rounds_send_arrays_instead_of_words(spark, monkeypatch):
+    """Before, a round wrote a row per word; with many words its steps and shuffles took over four times the input."""
+    steps = []
+
+    def seen(frame, name, *partitions):
+        path = written(frame, name, *partitions)
+        steps.append((name, path, spark.read.parquet(path).count()))
+        return path
+
+    written = hmm.written
+    monkeypatch.setattr(hmm, "CLASS_WORDS", 4)
+    monkeypatch.setattr(hmm, "written", seen)
+    assert hmm.score(topics(spark), F.col("doc_id") % 10 == 1, rounds=2, states=2).count() == 300
+    sizes = [rows for name, _, rows in steps if name == "expected-counts"]
+    assert len(sizes) == 2 and max(sizes) < 100  # of 4,000 words
+    assert not any(os.path.exists(path.removeprefix("file:")) for name, path, _ in steps)  # all replaced
+
+
+def test_scores_do_not_depend_on_chunks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "CLASS_WORDS", 4)
+    cut = hmm.pieces
+    got = []
+    for text, words, part in ((hmm.CHUNK_TEXT, hmm.CHUNK_WORDS, hmm.PART_WORDS), (40_000, 10**6, 300), (10**6, 900, 10**6)):
+        for name, value in (("CHUNK_TEXT", text), ("CHUNK_WORDS", words), ("PART_WORDS", part)):
+            monkeypatch.setattr(hmm, name, value)
+        monkeypatch.setattr(hmm, "pieces", lambda batches, column, limit=0: cut(batches, column, 20_000))
+        rows = hmm.score(topics(spark), F.col("doc_id") % 10 == 1, rounds=3, states=3).orderBy("doc_id").collect()
+        got.append([(r["n_known"], r["base_score"], r["score"]) for r in rows])
+    assert np.allclose(got[0], got[1], rtol=1e-6) and np.allclose(got[0], got[2], rtol=1e-6)
+
+
+def test_first_draws_are_those_of_the_table(spark):
+    words = ["a", "word", "é", "x" * 50]
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], dtype=np.uint64)
+    want = spark.createDataFrame([(w,) for w in words], "w string").select(*(
+        2.5 * -F.log((F.xxhash64("w", F.lit(5), F.lit(k)).bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(2.0**52))
+        for k in range(3))).collect()
+    assert np.allclose(hmm.first_draws(hashes, np.full(len(words), 2), 3), want)

@@ -4,20 +4,18 @@ Tokens are lower-cased words and one end per text. Every training word has
 emission counts of its own per state. Those of the ``CLASS_WORDS`` most frequent
 words and of the end, and one row for all words never seen, are the model that is
 broadcast; those of all other words are a distributed table, which grows with the
-corpus. Texts are dealt into chunks of about ``CHUNK_TEXT`` bytes; in each round
-a chunk's own words are joined to their rows of that table. So every text has an
-exact probability, up to the single precision in which these rows travel.
+corpus. Texts are dealt into chunks of about ``CHUNK_TEXT`` bytes and kept as
+numbers of words; the table is dealt into parts by hash. Both know from the start
+which of their words meet, so in each round arrays of single precision travel
+between parts and chunks, and no words. So every text has an exact probability, up
+to the single precision of these arrays.
 
 Training is Baum-Welch over all training texts: each chunk runs the scaled
 forward-backward recursion over its texts and sends expected counts, which are
 summed per word. In training only, texts are cut into segments of ``SEGMENT``
 tokens, which keeps the memory of the backward pass bounded; inner segments start
 from a distribution of their own. Scoring runs the scaled forward recursion over
-the whole text.
-
-Counts of the ``KNOWN_WORDS`` most frequent words go to the tasks, which then
-need a shuffled join for rarer words only to get the unigram score; hot words
-never meet in one task.
+the whole text, and sums the unigram score out of the same numbers.
 
 Given rows: a null or empty text is one end token; a null id counts as empty
 text in the hold-out rule; rows that repeat are scored alike and learned from as
@@ -31,10 +29,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from watchloom.llm.stored import removed, stored, written
 from watchloom.llm.words import Words, pieces
@@ -43,11 +42,14 @@ from watchloom.session import ship_package
 STATES = 8
 ROUNDS = 5
 CLASS_WORDS = 16_384
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 200_000  # bound of the words whose counts are broadcast
 LONGEST_KNOWN = 64  # bytes of a word that may be broadcast
 SEGMENT = 256
-CHUNK_TOKENS = 200_000
-CHUNK_TEXT = 32 << 20  # bytes of text whose words share one list of words outside the classes
+CHUNK_TOKENS = 200_000  # taken at once in training
+SCORED_TOKENS = 1_000_000  # taken at once in scoring: a step costs less the more texts it moves on
+CHUNK_TEXT = 96 << 20  # bytes of text whose words share one list of words outside the classes
+CHUNK_WORDS = 1_500_000  # a chunk ends at so many words of its list, too
+PART_WORDS = 500_000  # words of chunks' lists that one part of the other words holds
 PRIOR = 50.0  # tokens that the unigram shares count for in a state
 UNIGRAM = 0.1  # share of the unigram in every state
 END = ""  # no word is empty
@@ -72,9 +74,7 @@ class Lexicon:
     """What tasks know of the training words; its size is bounded by the constants above."""
 
     classes: dict[bytes, int]
-    logs: dict[bytes, float]  # log10(count + 0.5)
     class_counts: np.ndarray  # the end, the class words, words never seen
-    last: tuple[int, bytes] | None  # (count, word) of the last class word, if there may be others
     tokens: int
     words: int
 
@@ -82,113 +82,78 @@ class Lexicon:
     def base_log(self) -> float:
         return float(np.log10(self.tokens + 0.5 * (self.words + 1)))
 
-    def outside(self, counts: DataFrame) -> DataFrame:
-        """Rows of ``counts`` of words that are no class of their own."""
-        later = F.octet_length("word") > LONGEST_KNOWN
-        if self.last:
-            n, word = self.last
-            later = later | (F.col("n") < n) | ((F.col("n") == n) & (F.col("word").cast("binary") > F.lit(word)))
-        return counts.where((F.col("word") != END) & later)
-
 
 def lexicon(counts: DataFrame) -> Lexicon:
     """Totals and the most frequent words of a table of counts."""
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     top = (
         counts.where((F.octet_length("word") <= LONGEST_KNOWN) & (F.col("word") != END))
-        .orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+        .orderBy(F.desc("n"), "word").limit(min(CLASS_WORDS, KNOWN_WORDS)).toArrow()
     )
     names = top.column("word").cast(pa.binary()).to_pylist()
     n = np.asarray(top.column("n").combine_chunks(), dtype=np.int64) if names else np.zeros(0, np.int64)
     ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-    own = names[:CLASS_WORDS]
-    logs = dict(zip(names, np.log10(n + 0.5).tolist()))
-    logs[END.encode()] = float(np.log10(ends + 0.5))
-    last = (int(n[len(own) - 1]), own[-1]) if own else None
-    return Lexicon({w: i + 1 for i, w in enumerate(own)}, logs, np.concatenate([[ends], n[: len(own)], [0]]), last,
-                   totals[0] or 0, totals[1])
-
-
-SEQUENCES = T.StructType([
-    T.StructField("chunk", T.LongType()),
-    T.StructField("row", T.LongType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("held_out", T.BooleanType()),
-    T.StructField("n_tokens", T.LongType()),
-    T.StructField("known_here", T.LongType()),
-    T.StructField("log_here", T.DoubleType()),
-    T.StructField("tokens", T.BinaryType()),
-    T.StructField("rare", T.ArrayType(T.StructType([
-        T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))),
-    T.StructField("first", T.LongType()),
-    T.StructField("words", T.ArrayType(T.StringType())),
-])
+    return Lexicon({w: i + 1 for i, w in enumerate(names)}, np.concatenate([[ends], n, [0]]), totals[0] or 0, totals[1])
+
+
+SEQUENCES = "chunk long, row long, doc_id long, held_out boolean, n_tokens long, tokens binary, words array<binary>, n binary"
 
 
 def sequences(documents: DataFrame, known: Lexicon) -> DataFrame:
-    """Each text as numbers of words, its sums over known words, and its rare words with their counts.
+    """Each text as numbers of words.
 
     Numbers from the number of classes on are places in the chunk's list of words,
-    which stands in rows without ``row``: ``words`` from place ``first`` on.
+    which stands in a row without ``row``: ``words`` and their counts ``n`` in the
+    chunk's training texts.
     """
     shared = documents.sparkSession.sparkContext.broadcast(known)
+    names = ["chunk", "row", "doc_id", "held_out", "n_tokens", "tokens", "words", "n"]
+
+    def listed(chunk: int, places: dict[bytes, int], tally: np.ndarray) -> pa.RecordBatch:
+        words = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(list(places), pa.binary()))
+        nothing = (pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), *nothing, words, pa.array([tally[: len(places)].tobytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         size = len(lex.class_counts)
         chunk, filled = TaskContext.get().partitionId() << 32, 0
         places: dict[bytes, int] = {}
+        tally = np.zeros(0, dtype="<i8")
+        end = bytes(4)
         for piece in pieces(batches, "text"):
-            if filled >= CHUNK_TEXT:
-                chunk, filled, places = chunk + 1, 0, {}
+            if filled >= CHUNK_TEXT or len(places) >= CHUNK_WORDS:
+                yield listed(chunk, places, tally)
+                chunk, filled, places, tally = chunk + 1, 0, {}, np.zeros(0, dtype="<i8")
             filled += piece.column("text").nbytes
             words = Words(piece.column("text"), lower=True)
-            names = words.word_bytes()
-            first = len(places)
             number = np.fromiter(
-                (lex.classes.get(w) or size + places.setdefault(w, len(places)) for w in names),
-                dtype=np.uint32, count=len(names))
-            logs = np.fromiter((lex.logs.get(w, np.nan) for w in names), dtype=np.float64, count=len(names))
-            rare = np.isnan(logs)
-            per_word = np.stack([np.where(rare, 0.0, logs), ~rare], axis=1)
-            total = np.concatenate([np.zeros((1, 2)), np.cumsum(per_word[words.codes], axis=0)])
-            sums = total[words.starts[1:]] - total[words.starts[:-1]]
-            ended = lex.class_counts[0] > 0
-            tokens = number[words.codes].astype("<u4")
-            spot = np.flatnonzero(rare[words.codes])
-            kinds = max(len(names), 1)
-            pair, n = np.unique(words.owners[spot] * kinds + words.codes[spot], return_counts=True)
-            owner, code = pair // kinds, pair % kinds
-            rare_starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=piece.num_rows))])
-            items = pa.StructArray.from_arrays(
-                [words.vocabulary.cast(pa.string()).take(pa.array(code)), pa.array(n)], ["word", "n"])
-            rares = pa.ListArray.from_arrays(pa.array(rare_starts, pa.int32()), items)
-            end = bytes(4)
+                (lex.classes.get(w) or size + places.setdefault(w, len(places)) for w in words.word_bytes()),
+                dtype="<u4", count=len(words.vocabulary))
+            learned = ~np.asarray(piece.column("held_out").fill_null(True), dtype=bool)
+            n = np.bincount(words.codes[np.repeat(learned, words.counts)], minlength=len(number))
+            if len(places) > len(tally):
+                tally = np.concatenate([tally, np.zeros(2 * len(places) - len(tally), dtype="<i8")])
+            own = number >= size
+            tally[number[own] - size] += n[own]
+            tokens = number[words.codes]
             yield pa.RecordBatch.from_arrays([
                 pa.array([chunk] * piece.num_rows, pa.int64()),
-                piece.column("row"), piece.column("doc_id"), piece.column("held_out"),
-                pa.array(words.counts + 1),
-                pa.array(sums[:, 1].astype(np.int64) + ended),
-                pa.array(sums[:, 0] + lex.logs[END.encode()]),
+                piece.column("row"), piece.column("doc_id"), piece.column("held_out"), pa.array(words.counts + 1),
                 pa.array([tokens[a:b].tobytes() + end for a, b in zip(words.starts[:-1], words.starts[1:])], pa.binary()),
-                rares, pa.nulls(piece.num_rows, pa.int64()), pa.nulls(piece.num_rows, pa.list_(pa.string())),
-            ], SEQUENCES.names)
-            if len(places) > first:
-                new = np.flatnonzero(number >= size + first)  # in the order of their places
-                listed = pa.ListArray.from_arrays(
-                    pa.array([0, len(new)], pa.int32()), words.vocabulary.cast(pa.string()).take(pa.array(new)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), *(pa.nulls(1, t) for t in (
-                        pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), rares.type)),
-                     pa.array([first], pa.int64()), listed], SEQUENCES.names)
+                pa.nulls(piece.num_rows, pa.list_(pa.binary())), pa.nulls(piece.num_rows, pa.binary()),
+            ], names)
+        if places:
+            yield listed(chunk, places, tally)
 
     return documents.mapInArrow(run, SEQUENCES)
 
 
-def listed_words(rows: DataFrame) -> DataFrame:
-    """(chunk, at, word): the words outside the classes of each chunk."""
-    lists = rows.where("row is null").select("chunk", "first", F.posexplode("words").alias("k", "word"))
-    return lists.select("chunk", (F.col("first") + F.col("k")).alias("at"), "word")
+def merged(documents: DataFrame) -> DataFrame:
+    """Partitions put together to about ``CHUNK_TEXT`` bytes of text: the fewer chunks hold a word, the less is sent of it."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return documents.coalesce(max(1, -(-size // CHUNK_TEXT)))
 
 
 @dataclass
@@ -197,6 +162,9 @@ class Model:
     inner: np.ndarray  # of segments inside a text, in training
     moves: np.ndarray
     emits: np.ndarray  # a row per class, the last one for words never seen
+    total: np.ndarray | float = 1.0  # what scales the counts of words outside the classes, see ``own_emissions``
+    seen: float = 0.0  # 0: their counts are first draws
+    mass: float = 1.0
 
 
 def first_shares(class_counts: np.ndarray, states: int, seed: int) -> np.ndarray:
@@ -218,57 +186,173 @@ def first_model(class_counts: np.ndarray, states: int = STATES, seed: int = 5, o
 
 @dataclass
 class Others:
-    """The words outside the classes."""
+    """The words outside the classes, dealt to parts by hash.
+
+    Their counts per state travel as arrays: a part holds each of its words once
+    and sends a chunk the rows of its words, a chunk sends back what it gathered.
+    """
 
-    listed: DataFrame  # chunk, at, word
-    emits: DataFrame  # word and its emission per state
+    routes: DataFrame  # see ROUTES
+    path: str  # of the step that holds them
+    parts: int
     mass: float  # sum of count + 0.5
     seen: float  # sum of count
-    path: str | None = None  # of the step that holds the emissions, until the next round has replaced it
-
-
-def state_names(states: int) -> list[str]:
-    return [f"s{k}" for k in range(states)]
-
-
-def first_others(rows: DataFrame, counts: DataFrame, known: Lexicon, states: int, seed: int = 5) -> tuple[Others, np.ndarray]:
-    """Random first emissions of the words outside the classes, and their sums before scaling."""
-    names = state_names(states)
-    even = [(F.xxhash64("word", F.lit(seed), F.lit(k)).bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(2.0**52)
-            for k in range(states)]
-    drawn = known.outside(counts).select(
-        "word", (F.col("n") + 0.5).alias("m"), *(((F.col("n") + 0.5) * -F.log(u)).alias(s) for s, u in zip(names, even)))
-    sums = drawn.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("m", *names)), F.count("*")).first()
-    others = np.array(sums[1:-1])
-    total = first_shares(known.class_counts, states, seed).sum(axis=0) + others
-    scaled = drawn.select("word", *((F.col(s) / F.lit(float(x))).cast("float").alias(s) for s, x in zip(names, total)))
-    return Others(stored(listed_words(rows), "listed-words"), scaled, float(sums[0]), float(sums[0]) - 0.5 * sums[-1]), others
-
-
-def with_others(rows: DataFrame, others: Others | None, states: int, run, schema) -> DataFrame:
-    """``run(texts, words)`` per chunk: its texts and the emissions of its words outside the classes."""
-    names = state_names(states)
-    if others is None:
-        words = rows.sparkSession.createDataFrame([], "chunk long, at long, word string, " + ", ".join(f"{s} float" for s in names))
-    else:
-        words = others.listed.join(others.emits, "word").select("chunk", "at", "word", *names)
-    return rows.where("row is not null").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def chunk_model(model: Model, words: pa.Table) -> tuple[Model, np.ndarray]:
-    """The model with a row per listed word, and the places that have one; other words emit as never seen."""
-    places = words.column("at").to_numpy()
-    if not len(places):
-        return model, places
-    emits = np.tile(model.emits[-1], (int(places.max()) + 1, 1))
-    for k in range(len(model.start)):
-        emits[places, k] = words.column(f"s{k}").to_numpy()
-    return replace(model, emits=np.concatenate([model.emits, emits])), places
+def int_hash(value: int, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of a 4-byte integer."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (np.uint64(value) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def first_draws(hashes: np.ndarray, n: np.ndarray, states: int, seed: int = 5) -> np.ndarray:
+    """Random first counts per state of words with these hashes and counts."""
+    with np.errstate(over="ignore"):
+        drawn = [int_hash(k, int_hash(seed, hashes)) & np.uint64(2**52 - 1) for k in range(states)]
+    return (n + 0.5)[:, None] * -np.log((np.stack(drawn, axis=1) + 0.5) / 2.0**52)
+
+
+# A row per part and chunk: places in the chunk's list and in the part of the words seen in training. A row per part
+# without chunk: their counts and hashes, and the sums over them of 1, counts and first draws.
+ROUTES = "part int, chunk long, at binary, place binary, n binary, hashes binary, sums array<double>"
+
+
+def routed(rows: DataFrame, states: int) -> tuple[Others, np.ndarray]:
+    """The words outside the classes, and the sums of their first draws."""
+    listed = rows.where("row is null").select("chunk", "words", "n")
+    total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = -(-total // PART_WORDS)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, n in zip(batch.column("chunk"), batch.column("words"), batch.column("n").to_pylist()):
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.values.to_pylist()), dtype="<u8", count=len(words))
+                part = (hashes >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                used, first = np.unique(part[order], return_index=True)
+                bounds = np.append(first, len(order))
+                packed = [[x[order[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                          for x in (np.arange(len(words), dtype="<u4"), np.frombuffer(n, dtype="<i8"), hashes)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used.astype(np.int32)), pa.array([chunk.as_py()] * len(used), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.values.take(pa.array(order))),
+                    *(pa.array(x, pa.binary()) for x in packed)], ["part", "chunk", "words", "at", "n", "hashes"])
+
+    def numbered(table: pa.Table) -> pa.Table:
+        """Sums the counts of each word of a part and drops words never seen."""
+        words = pa.chunked_array(table.column("words").combine_chunks().flatten()).dictionary_encode().combine_chunks()
+        code = np.asarray(words.indices, dtype=np.int64)
+        n = np.zeros(len(words.dictionary), dtype="<i8")
+        np.add.at(n, code, joined(table.column("n"), "<i8"))
+        hashes = np.zeros(len(n), dtype="<u8")
+        hashes[code] = joined(table.column("hashes"), "<u8")
+        kept = n > 0
+        place = np.cumsum(kept) - 1
+        at, place, kept_here = joined(table.column("at"), "<u4"), place[code].astype("<u4"), kept[code]
+        bounds = np.cumsum([0, *(len(x) // 4 for x in table.column("at").to_pylist())])
+        spans = list(zip(bounds[:-1], bounds[1:]))
+        n, hashes = n[kept], hashes[kept]
+        sums = [float(len(n)), float(n.sum()), *first_draws(hashes, n, states).sum(axis=0).tolist()]
+        size, part = len(spans), table.column("part")[0].as_py()
+        none = [None] * size
+        return pa.table([
+            pa.array([part] * (size + 1), pa.int32()), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+            *(pa.array([*(x[a:b][kept_here[a:b]].tobytes() for a, b in spans), None], pa.binary()) for x in (at, place)),
+            *(pa.array([*none, x.tobytes()], pa.binary()) for x in (n, hashes)),
+            pa.array([*none, sums], pa.list_(pa.float64()))], ["part", "chunk", "at", "place", "n", "hashes", "sums"])
+
+    dealt = listed.mapInArrow(split, "part int, chunk long, words array<binary>, at binary, n binary, hashes binary")
+    path = written(dealt.groupBy("part").applyInArrow(numbered, ROUTES), "routes")
+    routes = rows.sparkSession.read.schema(ROUTES).parquet(path)
+    sums = routes.where("chunk is null").select(*(F.sum(F.col("sums")[k]) for k in range(states + 2))).first()
+    kinds, seen, *drawn = (x or 0.0 for x in sums)
+    return Others(routes, path, parts, seen + 0.5 * kinds, seen), np.array(drawn)
+
+
+def joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Numbers of all cells of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+# The rows that a chunk gets of the words of a part.
+SENT = "chunk long, part int, at binary, counts binary, n binary"
+
+
+def sent_to_chunks(others: Others, gathered: str | None, states: int, with_n: bool) -> str:
+    """Sums what chunks gathered (at first: draws) per word, sends chunks the rows of their words and returns the step's path."""
+    spark = others.routes.sparkSession
+    routes = others.routes.drop("sums").withColumn("counts", F.lit(None).cast("binary"))
+    if gathered:
+        back = spark.read.parquet(gathered).where("key is null")
+        routes = routes.drop("hashes").unionByName(back.select("part", "chunk", "counts"), allowMissingColumns=True)
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        rows = table.drop_columns("part").to_pylist()
+        n, counts = (np.frombuffer(next(r["n"] for r in rows if r["n"] is not None), dtype="<i8"), {})
+        if gathered:
+            counts = {r["chunk"]: r["counts"] for r in rows if r["counts"] is not None}
+            total = np.zeros((len(n), states))
+        else:
+            total = first_draws(np.frombuffer(next(r["hashes"] for r in rows if r["n"] is not None), dtype="<u8"), n, states)
+        routes = {r["chunk"]: (r["at"], np.frombuffer(r["place"], dtype="<u4")) for r in rows if r["place"] is not None}
+        for chunk in sorted(counts):  # a chunk has a word once
+            total[routes[chunk][1]] += np.frombuffer(counts[chunk], dtype="<f4").reshape(-1, states)
+        total = total.astype("<f4")
+        return pa.table([
+            pa.array(list(routes), pa.int64()), pa.array([part] * len(routes), pa.int32()),
+            pa.array([at for at, _ in routes.values()], pa.binary()),
+            pa.array([total[place].tobytes() for _, place in routes.values()], pa.binary()),
+            pa.array([n[place].tobytes() if with_n else None for _, place in routes.values()], pa.binary()),
+        ], ["chunk", "part", "at", "counts", "n"])
+
+    return written(routes.groupBy("part").applyInArrow(run, SENT), "sent-counts")
+
+
+def by_chunk(rows: DataFrame, sent: str | None, run, schema) -> DataFrame:
+    """``run(texts, words)`` per chunk: its texts and, per part, the counts of its words outside the classes."""
+    both = rows.where("row is not null")
+    if sent:
+        both = both.unionByName(rows.sparkSession.read.schema(SENT).parquet(sent), allowMissingColumns=True)
+
+    def split(table: pa.Table) -> pa.Table:
+        texts = pc.is_valid(table.column("row"))
+        return run(table.filter(texts), table.filter(pc.invert(texts)))
+
+    return both.groupBy("chunk").applyInArrow(split, schema)
+
+
+def own_emissions(model: Model, counts: np.ndarray) -> np.ndarray:
+    """Emissions of words outside the classes out of their counts per state; a word's counts sum to its own count."""
+    if not model.seen:
+        return counts / model.total
+    return smoothed(counts, counts.sum(axis=1, keepdims=True), model.total, model.seen, model.mass)
+
+
+def chunk_model(model: Model, words: pa.Table) -> tuple[Model, list[np.ndarray]]:
+    """The model with a row per listed word, and their places by part; other words emit as never seen."""
+    if not words.num_rows:
+        return model, []
+    states = len(model.start)
+    places = [np.frombuffer(x, dtype="<u4") for x in words.column("at").to_pylist()]
+    size = len(model.emits)
+    listed = max((int(x.max()) + 1 for x in places if len(x)), default=0)
+    emits = np.empty((size + listed, states))
+    emits[:size], emits[size:] = model.emits, model.emits[-1]
+    for at, counts in zip(places, words.column("counts")):
+        emits[size + at] = own_emissions(model, np.frombuffer(counts.as_buffer(), dtype="<f4").reshape(-1, states).astype(float))
+    return replace(model, emits=emits), places
 
 
-def chunk_tokens(texts: pa.Table, model: Model, unseen: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunk_tokens(texts: pa.Table, model: Model, unseen: int,
+                 limit: int = CHUNK_TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, numbers of their words, lengths) of pieces of a chunk."""
-    for piece in pieces(texts.to_batches(), "tokens", 4 * CHUNK_TOKENS):
+    for piece in pieces(texts.to_batches(), "tokens", 4 * limit):
         tokens, lengths = tokens_of(piece.column("tokens"))
         yield piece, np.where(tokens < len(model.emits), tokens, unseen), lengths
 
@@ -296,12 +380,13 @@ def forward_log(model: Model, tokens: np.ndarray, lengths: np.ndarray, firsts: n
     """Natural logarithm of the probability of each whole sequence."""
     lay = Layout(tokens, lengths, firsts)
     total = np.zeros(len(lengths))
+    ones = np.ones(len(model.start))
     state = np.broadcast_to(model.start, (len(lengths), len(model.start)))
     for t in range(lay.longest):
         n = lay.active[t]
         state = (state[:n] @ model.moves if t else state) * model.emits[lay.classes[lay.step(t)]]
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
+        scale = state @ ones
+        state *= (1.0 / scale)[:, None]
         total[:n] += np.log(scale)
     out = np.empty(len(lengths))
     out[lay.order] = total
@@ -309,36 +394,55 @@ def forward_log(model: Model, tokens: np.ndarray, lengths: np.ndarray, firsts: n
 
 
 def expected(model: Model, tokens: np.ndarray, lengths: np.ndarray, firsts: np.ndarray,
-             opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of some segments: starts, inner starts, moves, emissions, log likelihood."""
+             opening: np.ndarray, emits: np.ndarray | None = None,
+             size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of some segments: starts, inner starts, moves, emissions, log likelihood.
+
+    Emissions are added to ``emits`` if given, whose first ``size`` rows are those of frequent words.
+    """
     lay = Layout(tokens, lengths, firsts)
     emit = model.emits[lay.classes]
-    alpha, onward = np.empty_like(emit), np.empty_like(emit)
-    scale = np.empty(len(emit))
+    states = emit.shape[1]
+    alpha = np.empty_like(emit)
+    scale, ones = np.empty(len(emit)), np.ones(states)
     state = np.where(opening[lay.order][:, None], model.start, model.inner)
     for t in range(lay.longest):
         s = lay.step(t)
         state = (state[: lay.active[t]] @ model.moves if t else state) * emit[s]
-        scale[s] = state.sum(axis=1)
-        state = state / scale[s, None]
-        alpha[s] = state
-    gamma = alpha.copy()
-    beta = np.ones((0, emit.shape[1]))
+        scale[s] = state @ ones
+        shrunk = (1.0 / scale[s])[:, None]
+        state = np.multiply(state, shrunk, out=alpha[s])
+        emit[s] *= shrunk
+    moves = np.zeros((states, states))
+    beta, back = np.ones((0, states)), np.ascontiguousarray(model.moves.T)
     for t in range(lay.longest - 1, -1, -1):
         s, n = lay.step(t), lay.active[t]
-        full = np.ones((n, emit.shape[1]))
-        full[: len(beta)] = beta
-        gamma[s] *= full
-        onward[s] = emit[s] * full / scale[s, None]
-        beta = onward[s] @ model.moves.T
-    later = np.arange(lay.at[1], lay.at[-1])
-    counts = lay.active[1:]
-    before = later - np.repeat(lay.active[:-1], counts) if len(later) else later
-    moves = model.moves * (alpha[before].T @ onward[later])
-    emits = np.stack([np.bincount(lay.classes, gamma[:, k], minlength=len(model.emits))
-                      for k in range(emit.shape[1])], axis=1)
-    begin, is_open = gamma[: lay.active[0]], opening[lay.order]
-    return (begin[is_open].sum(axis=0), begin[~is_open].sum(axis=0), moves, emits, float(np.log(scale).sum()))
+        full = beta
+        if n > len(beta):
+            full = np.ones((n, states))
+            full[: len(beta)] = beta
+        alpha[s] *= full  # the state's probability from here on: the step after has used alpha
+        if t:
+            onward = emit[s] * full
+            moves += alpha[lay.step(t - 1)][:n].T @ onward
+            beta = onward @ back
+    if emits is None:
+        emits = np.zeros_like(model.emits)
+    add_counts(emits, lay.classes, alpha, size or len(emits))
+    begin, is_open = alpha[: lay.active[0]], opening[lay.order]
+    return (begin[is_open].sum(axis=0), begin[~is_open].sum(axis=0), model.moves * moves, emits, float(np.log(scale).sum()))
+
+
+def add_counts(emits: np.ndarray, words: np.ndarray, gamma: np.ndarray, size: int) -> None:
+    """Adds each row of ``gamma`` to its word's; rows from ``size`` on, which may be many, are touched only where needed."""
+    states = gamma.shape[1]
+    own = words >= size
+    rare, some = words[own], gamma[own]
+    if len(rare):
+        words, gamma = words[~own], gamma[~own]
+        np.add.at(emits.reshape(-1), (rare[:, None] * states + np.arange(states)).reshape(-1), some.reshape(-1))
+    for k in range(states):
+        emits[:size, k] += np.bincount(words, gamma[:, k], minlength=size)
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -370,19 +474,20 @@ def smoothed(expected, count, total, seen: float, mass: float):
 
 def improved(rows: DataFrame, model: Model, class_counts: np.ndarray) -> tuple[Model, float]:
     """A round in which all words outside the classes are taken as never seen."""
-    model, _, likelihood = trained(rows, model, class_counts, None)
+    model, path, likelihood = trained(rows, model, class_counts, None, None)
+    removed(rows.sparkSession, path)
     return model, likelihood
 
 
-def trained(rows: DataFrame, model: Model, class_counts: np.ndarray,
-            others: Others | None) -> tuple[Model, Others | None, float]:
-    """One round of Baum-Welch: (new model, new emissions of other words, log likelihood under the old ones).
+def trained(rows: DataFrame, model: Model, class_counts: np.ndarray, others: Others | None,
+            sent: str | None) -> tuple[Model, str, float]:
+    """One round of Baum-Welch: (new model, step with the counts of other words, log likelihood under the old model).
 
-    Chunks send a row per word they met and one per state; sums meet by word.
+    A chunk sends a row per class it met, some for the states, and an array per part for its other words.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
-    names = state_names(states)
+    names = [f"s{k}" for k in range(states)]
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         base = shared.value
@@ -396,35 +501,30 @@ def trained(rows: DataFrame, model: Model, class_counts: np.ndarray,
             group = np.cumsum(parts) // CHUNK_TOKENS
             for g in np.unique(group):
                 m = group == g
-                start, inner, moves, emits, likelihood = expected(current, tokens, parts[m], firsts[m], opening[m])
-                emitted += emits
+                start, inner, moves, _, likelihood = expected(current, tokens, parts[m], firsts[m], opening[m], emitted, size)
                 sums[:states] += moves
                 sums[states] += start
                 sums[states + 1] += inner
                 sums[states + 2, 0] += likelihood
-        other = emitted[size:][places]
+        other = [emitted[size + at] for at in places]
+        sums[states + 3] = sum((x.sum(axis=0) for x in other), np.zeros(states))
         # Listed words without a row of their own are words never seen.
-        emitted[size - 1] += emitted[size:].sum(axis=0) - other.sum(axis=0)
-        sums[states + 3] = other.sum(axis=0)
+        emitted[size - 1] += emitted[size:].sum(axis=0) - sums[states + 3]
         sums = np.concatenate([emitted[:size], sums])
-        used, met = np.flatnonzero(sums.any(axis=1)), np.flatnonzero(other.any(axis=1))
+        used = np.flatnonzero(sums.any(axis=1))
         return pa.table(
-            [pa.array(np.append(used, np.full(len(met), -1)).astype(np.int32)),
-             pa.concat_arrays([pa.nulls(len(used), pa.string()),
-                               words.column("word").combine_chunks().cast(pa.string()).take(pa.array(met))]),
-             *(pa.array(np.append(sums[used, k], other[met, k])) for k in range(states))], ["key", "word", *names])
-
-    schema = "key int, word string, " + ", ".join(f"{n} double" for n in names)
-    sent = with_others(rows.select("chunk", "row", "tokens"), others, states, run, schema)
-    # Sums of the model stay double, those of other words take single precision.
-    met = F.col("key") < 0
-    path = written(sent.groupBy("key", "word").agg(*(F.sum(n).alias(n) for n in names)).select(
-        "key", "word", *(F.when(~met, F.col(n)).alias(f"model_{n}") for n in names),
-        *(F.when(met, F.col(n)).cast("float").alias(n) for n in names)), "expected-counts")
-    if others and others.path:
-        removed(rows.sparkSession, others.path)
-    summed = rows.sparkSession.read.parquet(path)
-    got = summed.where("key >= 0").select("key", *(F.col(f"model_{n}").alias(n) for n in names)).toArrow()
+            [pa.array(np.append(used, np.zeros(len(other))).astype(np.int32), mask=np.arange(len(used) + len(other)) >= len(used)),
+             *(pa.concat_arrays([pa.array(sums[used, k]), pa.nulls(len(other), pa.float64())]) for k in range(states)),
+             pa.concat_arrays([pa.nulls(len(used), pa.int32()), words.column("part").combine_chunks().cast(pa.int32())]),
+             pa.concat_arrays([pa.nulls(len(used), pa.int64()), words.column("chunk").combine_chunks().cast(pa.int64())]),
+             pa.array([None] * len(used) + [x.astype("<f4").tobytes() for x in other], pa.binary())],
+            ["key", *names, "part", "chunk", "counts"])
+
+    schema = "key int, " + ", ".join(f"{n} double" for n in names) + ", part int, chunk long, counts binary"
+    texts = rows.where(~F.col("held_out")).select("chunk", "row", "tokens")
+    path = written(by_chunk(with_columns(texts), sent, run, schema), "expected-counts")
+    got = (rows.sparkSession.read.schema(schema).parquet(path).where("key is not null")
+           .groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toArrow())
     size = len(model.emits)
     sums = np.zeros((size + states + 4, states))
     if got.num_rows:
@@ -436,56 +536,73 @@ def trained(rows: DataFrame, model: Model, class_counts: np.ndarray,
     emits = smoothed(sums[:size], class_counts[:, None], total, seen, mass)
     moves = sums[size : size + states] + 0.1
     start, inner = sums[size + states] + 0.1, sums[size + states + 1] + 0.1
-    better = Model(start / start.sum(), inner / inner.sum(), moves / moves.sum(axis=1, keepdims=True), emits)
-    if others:
-        count = sum((F.col(n).cast("double") for n in names), F.lit(0.0))  # a word's counts sum to its own count
-        found = summed.where("key = -1").select("word", *(
-            smoothed(F.col(n).cast("double"), count, float(t), seen, mass).cast("float").alias(n) for n, t in zip(names, total)))
-        others = replace(others, emits=found, path=path)
-    return better, others, float(sums[size + states + 2, 0])
+    better = Model(start / start.sum(), inner / inner.sum(), moves / moves.sum(axis=1, keepdims=True), emits, total, seen, mass)
+    return better, path, float(sums[size + states + 2, 0])
 
 
-def class_scores(rows: DataFrame, model: Model, others: Others | None) -> DataFrame:
-    """Replaces ``tokens`` by ``log_tokens``: log10 of the probability of the sequence."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in rows.columns if c not in ("tokens", "chunk")]
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("log_tokens", T.DoubleType())])
+def with_columns(texts: DataFrame) -> DataFrame:
+    """Texts with the columns of ``SENT``, which ``by_chunk`` may add rows of."""
+    return texts.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (
+        ("part", "int"), ("at", "binary"), ("counts", "binary"), ("n", "binary"))))
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        base = shared.value
-        current, _ = chunk_model(base, words)
-        logs = [np.zeros(0)]
-        for _, tokens, lengths in chunk_tokens(texts, current, len(base.emits) - 1):
-            logs.append(forward_log(current, tokens, lengths, np.cumsum(lengths) - lengths) / np.log(10))
-        return pa.table([*(texts.column(c) for c in kept), pa.array(np.concatenate(logs))], [*kept, "log_tokens"])
 
-    return with_others(rows, others, len(model.start), run, schema)
+def scores(rows: DataFrame, model: Model, known: Lexicon, sent: str | None) -> DataFrame:
+    """Each text's known tokens, unigram score and log10 of its probability."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, known.class_counts))
+    kept = ["doc_id", "held_out", "n_tokens"]
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_words double, score double"
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        base, class_counts = shared.value
+        current, places = chunk_model(base, words)
+        size = len(base.emits)
+        counts = np.zeros(len(current.emits))
+        counts[:size] = class_counts
+        for at, n in zip(places, words.column("n").to_pylist()):
+            counts[size + at] = np.frombuffer(n, dtype="<i8")
+        logs = np.log10(counts + 0.5)
+        got = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        for _, tokens, lengths in chunk_tokens(texts, current, size - 1, SCORED_TOKENS):
+            firsts = np.cumsum(lengths) - lengths
+            got[0].append(np.add.reduceat(counts[tokens] > 0, firsts, dtype=np.int64))
+            got[1].append(np.add.reduceat(logs[tokens], firsts))
+            got[2].append(forward_log(current, tokens, lengths, firsts) / np.log(10))
+        return pa.table([*(texts.column(c) for c in kept), *(pa.array(np.concatenate(x)) for x in got)],
+                        [*kept, "n_known", "log_words", "score"])
+
+    texts = with_columns(rows.select("chunk", "row", *kept, "tokens"))
+    return by_chunk(texts, sent, run, schema)
 
 
 def score(documents: DataFrame, held_out: Column, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """Trains on rows of ``documents`` (doc_id, text) that are not held out and scores all of them."""
     ship_package(documents.sparkSession)
+    spark = documents.sparkSession
     given = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                              held_out.alias("held_out"), "text")
-    counts = stored(word_counts(given.where(~F.col("held_out"))), "word-counts")
-    known = lexicon(counts)
-    rows = stored(sequences(given, known), "sequences")
-    texts = rows.where("row is not null").drop("first", "words")
-    others, sums = first_others(rows, counts, known, states)
-    model = first_model(known.class_counts, states, others=sums)
-    for _ in range(rounds):
-        model, others, _ = trained(texts.where(~F.col("held_out")), model, known.class_counts, others)
-    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    found = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(c + 0.5)).alias("log_rare"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_rare"),
-    )
-    scored = stored(class_scores(texts.drop("rare"), model, others), "scores").join(found, "row", "left")
+    counted = written(word_counts(given.where(~F.col("held_out"))), "word-counts")
+    known = lexicon(spark.read.parquet(counted))
+    removed(spark, counted)
+    path = written(sequences(merged(given), known), "sequences")
+    rows = spark.read.schema(SEQUENCES).parquet(path)
+    texts = rows.where("row is not null").drop("words", "n")
+    others, drawn = routed(rows, states)
+    model = first_model(known.class_counts, states, others=drawn)
+    model.total = first_shares(known.class_counts, states, 5).sum(axis=0) + drawn
+    gathered = sent = None
+    for k in range(rounds + 1):
+        sent = sent_to_chunks(others, gathered, states, with_n=k == rounds) if others.parts else None
+        if gathered:
+            removed(spark, gathered)
+        if k < rounds:
+            model, gathered, _ = trained(texts, model, known.class_counts, others, sent)
+            if sent:
+                removed(spark, sent)
+    scored = stored(scores(texts, model, known, sent), "scores")
+    removed(spark, path, others.path, *([sent] if sent else []))
     return scored.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known_here") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
+        "doc_id", "held_out", "n_tokens", "n_known",
         F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("log_here") + F.coalesce("log_rare", F.lit(0.0)) - F.col("n_tokens") * known.base_log).alias("base_score"),
-        F.col("log_tokens").alias("score"),
+        (F.col("log_words") - F.col("n_tokens") * known.base_log).alias("base_score"),
+        "score",
     )
