@@ -47,8 +47,8 @@ LONGEST_KNOWN = 64  # bytes of a word that may be broadcast
 SEGMENT = 256
 CHUNK_TOKENS = 200_000  # taken at once in training
 SCORED_TOKENS = 1_000_000  # taken at once in scoring: a step costs less the more texts it moves on
-CHUNK_TEXT = 96 << 20  # bytes of text whose words share one list of words outside the classes
-CHUNK_WORDS = 1_500_000  # a chunk ends at so many words of its list, too
+CHUNK_TEXT = 64 << 20  # bytes of text whose words share one list of words outside the classes
+CHUNK_WORDS = 1_000_000  # a chunk ends at so many words of its list, too
 PART_WORDS = 500_000  # words of chunks' lists that one part of the other words holds
 PRIOR = 50.0  # tokens that the unigram shares count for in a state
 UNIGRAM = 0.1  # share of the unigram in every state
@@ -320,9 +320,13 @@ def by_chunk(rows: DataFrame, sent: str | None, run, schema) -> DataFrame:
     if sent:
         both = both.unionByName(rows.sparkSession.read.schema(SENT).parquet(sent), allowMissingColumns=True)
 
-    def split(table: pa.Table) -> pa.Table:
-        texts = pc.is_valid(table.column("row"))
-        return run(table.filter(texts), table.filter(pc.invert(texts)))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parted = ([], [])  # copies, so that no batch stays
+        for batch in batches:
+            texts = pc.is_valid(batch.column("row"))
+            parted[0].append(batch.filter(texts).drop_columns(["at", "counts", "n"]))
+            parted[1].append(batch.filter(pc.invert(texts)).select(["part", "chunk", "at", "counts", "n"]))
+        yield from run(*(pa.Table.from_batches(x) for x in parted)).to_batches()
 
     return both.groupBy("chunk").applyInArrow(split, schema)
 
