@@ -46,8 +46,8 @@ KNOWN_WORDS = 200_000  # bound of the words whose counts are broadcast
 LONGEST_KNOWN = 64  # bytes of a word that may be broadcast
 SEGMENT = 256
 CHUNK_TOKENS = 200_000  # taken at once in training
-SCORED_TOKENS = 1_000_000  # taken at once in scoring: a step costs less the more texts it moves on
-CHUNK_TEXT = 64 << 20  # bytes of text whose words share one list of words outside the classes
+SCORED_TOKENS = 500_000  # taken at once in scoring: a step costs less the more texts it moves on
+CHUNK_TEXT = 32 << 20  # bytes of text whose words share one list of words outside the classes
 CHUNK_WORDS = 1_000_000  # a chunk ends at so many words of its list, too
 PART_WORDS = 500_000  # words of chunks' lists that one part of the other words holds
 PRIOR = 50.0  # tokens that the unigram shares count for in a state
@@ -121,7 +121,7 @@ def sequences(documents: DataFrame, known: Lexicon) -> DataFrame:
         chunk, filled = TaskContext.get().partitionId() << 32, 0
         places: dict[bytes, int] = {}
         tally = np.zeros(0, dtype="<i8")
-        end = bytes(4)
+        zero = np.zeros(1, dtype="<u4")  # the end
         for piece in pieces(batches, "text"):
             if filled >= CHUNK_TEXT or len(places) >= CHUNK_WORDS:
                 yield listed(chunk, places, tally)
@@ -141,7 +141,7 @@ def sequences(documents: DataFrame, known: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([chunk] * piece.num_rows, pa.int64()),
                 piece.column("row"), piece.column("doc_id"), piece.column("held_out"), pa.array(words.counts + 1),
-                pa.array([tokens[a:b].tobytes() + end for a, b in zip(words.starts[:-1], words.starts[1:])], pa.binary()),
+                pa.array([packed(np.append(tokens[a:b], zero)) for a, b in zip(words.starts[:-1], words.starts[1:])], pa.binary()),
                 pa.nulls(piece.num_rows, pa.list_(pa.binary())), pa.nulls(piece.num_rows, pa.binary()),
             ], names)
         if places:
@@ -321,6 +321,7 @@ def by_chunk(rows: DataFrame, sent: str | None, run, schema) -> DataFrame:
         both = both.unionByName(rows.sparkSession.read.schema(SENT).parquet(sent), allowMissingColumns=True)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         parted = ([], [])  # copies, so that no batch stays
         for batch in batches:
             texts = pc.is_valid(batch.column("row"))
@@ -356,9 +357,17 @@ def chunk_model(model: Model, words: pa.Table) -> tuple[Model, list[np.ndarray]]
 def chunk_tokens(texts: pa.Table, model: Model, unseen: int,
                  limit: int = CHUNK_TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, numbers of their words, lengths) of pieces of a chunk."""
-    for piece in pieces(texts.to_batches(), "tokens", 4 * limit):
-        tokens, lengths = tokens_of(piece.column("tokens"))
-        yield piece, np.where(tokens < len(model.emits), tokens, unseen), lengths
+    for batch in texts.to_batches():
+        total = np.cumsum(batch.column("n_tokens").to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            before = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+            piece = batch.slice(start, stop - start)
+            lengths = piece.column("n_tokens").to_numpy()
+            tokens = unpacked(piece.column("tokens").to_pylist(), lengths)
+            yield piece, np.where(tokens < len(model.emits), tokens, unseen), lengths
+            start = stop
 
 
 class Layout:
@@ -449,11 +458,17 @@ def add_counts(emits: np.ndarray, words: np.ndarray, gamma: np.ndarray, size: in
         emits[:size, k] += np.bincount(words, gamma[:, k], minlength=size)
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the words of all rows, lengths)."""
-    values = column.to_pylist()
-    lengths = np.fromiter((len(v) // 4 for v in values), dtype=np.int64, count=len(values))
-    return np.frombuffer(b"".join(values), dtype="<u4").astype(np.int64), lengths
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, most of them small, in about half of their bytes: all lowest bytes first, compressed."""
+    return pa.Codec("zstd", 1).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unpacked(cells: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all cells."""
+    codec = pa.Codec("zstd")
+    planes = np.concatenate([np.zeros((4, 0), np.uint8), *(
+        np.frombuffer(codec.decompress(x, 4 * n), dtype=np.uint8).reshape(4, -1) for x, n in zip(cells, lengths.tolist()))], axis=1)
+    return sum(plane.astype(np.int64) << (8 * k) for k, plane in enumerate(planes))
 
 
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -525,7 +540,7 @@ def trained(rows: DataFrame, model: Model, class_counts: np.ndarray, others: Oth
             ["key", *names, "part", "chunk", "counts"])
 
     schema = "key int, " + ", ".join(f"{n} double" for n in names) + ", part int, chunk long, counts binary"
-    texts = rows.where(~F.col("held_out")).select("chunk", "row", "tokens")
+    texts = rows.where(~F.col("held_out")).select("chunk", "row", "n_tokens", "tokens")
     path = written(by_chunk(with_columns(texts), sent, run, schema), "expected-counts")
     got = (rows.sparkSession.read.schema(schema).parquet(path).where("key is not null")
            .groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toArrow())
