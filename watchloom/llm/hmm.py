@@ -217,14 +217,15 @@ def first_draws(hashes: np.ndarray, n: np.ndarray, states: int, seed: int = 5) -
     return (n + 0.5)[:, None] * -np.log((np.stack(drawn, axis=1) + 0.5) / 2.0**52)
 
 
-# A row per part and chunk: places in the chunk's list and in the part of the words seen in training. A row per part
+# A row per part and chunk: places in the chunk's list (steps from one to the next) and in the part of the words seen
+# in training, both packed, and how many they are. A row per part
 # without chunk: their counts and hashes, and the sums over them of 1, counts and first draws.
-ROUTES = "part int, chunk long, at binary, place binary, n binary, hashes binary, sums array<double>"
+ROUTES = "part int, chunk long, at binary, place binary, size long, n binary, hashes binary, sums array<double>"
 
 
 def routed(rows: DataFrame, states: int) -> tuple[Others, np.ndarray]:
     """The words outside the classes, and the sums of their first draws."""
-    listed = rows.where("row is null").select("chunk", "words", "n")
+    listed = rows.select("chunk", "words", "n")
     total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = -(-total // PART_WORDS)
 
@@ -262,9 +263,11 @@ def routed(rows: DataFrame, states: int) -> tuple[Others, np.ndarray]:
         none = [None] * size
         return pa.table([
             pa.array([part] * (size + 1), pa.int32()), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
-            *(pa.array([*(x[a:b][kept_here[a:b]].tobytes() for a, b in spans), None], pa.binary()) for x in (at, place)),
+            pa.array([*(packed(np.diff(at[a:b][kept_here[a:b]], prepend=np.uint32(0))) for a, b in spans), None], pa.binary()),
+            pa.array([*(packed(place[a:b][kept_here[a:b]]) for a, b in spans), None], pa.binary()),
+            pa.array([*(int(kept_here[a:b].sum()) for a, b in spans), None], pa.int64()),
             *(pa.array([*none, x.tobytes()], pa.binary()) for x in (n, hashes)),
-            pa.array([*none, sums], pa.list_(pa.float64()))], ["part", "chunk", "at", "place", "n", "hashes", "sums"])
+            pa.array([*none, sums], pa.list_(pa.float64()))], ["part", "chunk", "at", "place", "size", "n", "hashes", "sums"])
 
     dealt = listed.mapInArrow(split, "part int, chunk long, words array<binary>, at binary, n binary, hashes binary")
     path = written(dealt.groupBy("part").applyInArrow(numbered, ROUTES), "routes")
@@ -300,7 +303,7 @@ def sent_to_chunks(others: Others, gathered: str | None, states: int, with_n: bo
             total = np.zeros((len(n), states))
         else:
             total = first_draws(np.frombuffer(next(r["hashes"] for r in rows if r["n"] is not None), dtype="<u8"), n, states)
-        routes = {r["chunk"]: (r["at"], np.frombuffer(r["place"], dtype="<u4")) for r in rows if r["place"] is not None}
+        routes = {r["chunk"]: (r["at"], unpacked([r["place"]], np.array([r["size"]]))) for r in rows if r["place"] is not None}
         for chunk in sorted(counts):  # a chunk has a word once
             total[routes[chunk][1]] += np.frombuffer(counts[chunk], dtype="<f4").reshape(-1, states)
         total = total.astype("<f4")
@@ -344,7 +347,8 @@ def chunk_model(model: Model, words: pa.Table) -> tuple[Model, list[np.ndarray]]
     if not words.num_rows:
         return model, []
     states = len(model.start)
-    places = [np.frombuffer(x, dtype="<u4") for x in words.column("at").to_pylist()]
+    counted = [len(x.as_buffer()) // (4 * states) for x in words.column("counts")]
+    places = [np.cumsum(unpacked([x], np.array([n]))) for x, n in zip(words.column("at").to_pylist(), counted)]
     size = len(model.emits)
     listed = max((int(x.max()) + 1 for x in places if len(x)), default=0)
     emits = np.empty((size + listed, states))
@@ -467,7 +471,7 @@ def unpacked(cells: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """The numbers of all cells."""
     codec = pa.Codec("zstd")
     planes = np.concatenate([np.zeros((4, 0), np.uint8), *(
-        np.frombuffer(codec.decompress(x, 4 * n), dtype=np.uint8).reshape(4, -1) for x, n in zip(cells, lengths.tolist()))], axis=1)
+        np.frombuffer(codec.decompress(x, 4 * n), dtype=np.uint8).reshape(4, -1) for x, n in zip(cells, lengths.tolist()) if n)], axis=1)
     return sum(plane.astype(np.int64) << (8 * k) for k, plane in enumerate(planes))
 
 
@@ -602,10 +606,11 @@ def score(documents: DataFrame, held_out: Column, rounds: int = ROUNDS, states:
     counted = written(word_counts(given.where(~F.col("held_out"))), "word-counts")
     known = lexicon(spark.read.parquet(counted))
     removed(spark, counted)
-    path = written(sequences(merged(given), known), "sequences")
-    rows = spark.read.schema(SEQUENCES).parquet(path)
-    texts = rows.where("row is not null").drop("words", "n")
-    others, drawn = routed(rows, states)
+    path = written(sequences(merged(given), known).withColumn("listed", F.col("row").isNull()), "sequences", "listed")
+    rows = spark.read.schema(SEQUENCES + ", listed boolean").parquet(path)
+    texts = rows.where(~F.col("listed")).drop("words", "n", "listed")
+    others, drawn = routed(rows.where("listed"), states)
+    removed(spark, f"{path}/listed=true")
     model = first_model(known.class_counts, states, others=drawn)
     model.total = first_shares(known.class_counts, states, 5).sum(axis=0) + drawn
     gathered = sent = None
