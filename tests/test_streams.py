@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.operators import pipeline_runs as P
 from watchloom.sinks import tables as K
-from watchloom.sources import catalog, streams
+from watchloom.sources import catalog, files, streams
 from watchloom.streaming import jobs as J
 
 
@@ -133,3 +133,61 @@ def test_batches_are_kept_without_parsed_documents(spark, sf_dir, tmp_path, monk
     assert held and all("doc" not in columns for columns in held)
     stored = K.read_table(spark, f"{tmp_path}/conn").select("uid", "proto", "orig_bytes").collect()
     assert sorted(map(tuple, stored)) == sorted((f"C{k}", "tcp", k) for k in range(20))
+
+
+def test_kept_batches_take_no_heap(spark):
+    """Kept in memory, the messages of a large batch filled the executors' heaps."""
+    df = spark.range(10)
+    with K.kept(df):
+        assert df.count() == 10 and df.storageLevel.useDisk and not df.storageLevel.useMemory
+    assert not df.is_cached
+
+
+def test_a_batch_is_bounded_by_bytes(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    for n in range(3):
+        _write(source, f"{n}.txt", [{"conn": {"uid": f"{n}-{i}"}} for i in range(4)] + [{"notice": {}}])
+    size = sum(p.stat().st_size for p in source.iterdir())
+    messages = streams.message_files(spark, str(source), bytes_per_batch=size // 3)
+    J.start(J.ingest_sensor(messages, root, vectors=False), str(tmp_path / "mark")).awaitTermination()
+    assert K.written_batches(spark, f"{root}/tables/conn") == [0, 1, 2]
+    assert sorted(r[0] for r in K.read_table(spark, f"{root}/tables/conn").select("uid").collect()) == [f"{n}-{i}" for n in range(3) for i in range(4)]
+    assert K.read_table(spark, f"{root}/dead_letters").count() == 3
+
+
+def test_ingested_messages_come_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """All messages were one batch, however many there were."""
+    from watchloom.plans import storage
+    from watchloom.plans.registry import QUERIES
+
+    price = F.col("id").cast("double")
+    spark.range(4000).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"),
+        F.lit("F").alias("l_linestatus"), F.lit("A").alias("l_returnflag"), F.lit(2.0).alias("l_quantity"), price.alias("l_extendedprice"),
+        F.lit(0.0).alias("l_discount"), F.lit("2001-01-01").cast("timestamp_ntz").alias("l_shipdate"),
+    ).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    roots, first = [], J.ingest_sensor
+    monkeypatch.setattr(J, "ingest_sensor", lambda messages, root, **how: roots.append(root) or first(messages, root, **how))
+    monkeypatch.setattr(storage, "FILE_MESSAGES", 200)
+    monkeypatch.setattr(storage, "BATCH_BYTES", 200_000)
+    got = {r["table_name"]: r["stored_rows"] for r in QUERIES["stream_ingest_sensor"](spark, str(tmp_path)).collect()}
+    spoiled = sum(any(n % k == 0 for k in (101, 103, 107, 109, 113, 127, 131)) for n in range(4000))
+    assert got == {"conn": 4000 - spoiled, "dead_letters": spoiled}
+    assert len(K.written_batches(spark, f"{roots[0]}/tables/conn")) > 2
+
+
+def test_rows_are_dealt_out_by_row_groups_and_size(spark, tmp_path, monkeypatch):
+    """A large file was dealt to as many parts as there are cores, however many row groups it had."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    cores, rows = spark.sparkContext.defaultParallelism, 6400
+    for name, size in (("one", rows), ("many", rows // (files.GROUPS_PER_CORE * cores))):
+        pq.write_table(pa.table({"n": range(rows)}), tmp_path / f"{name} file.parquet", row_group_size=size)
+    one, many = (spark.read.parquet(str(tmp_path / f"{n} file.parquet")) for n in ("one", "many"))
+    assert files.spread(many) is many
+    assert files.spread(one).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(files, "PART_BYTES", (tmp_path / "one file.parquet").stat().st_size // 20)
+    dealt = files.spread(one)
+    assert dealt.rdd.getNumPartitions() >= 20 and sorted(r[0] for r in dealt.collect()) == [*range(rows)]
+    assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= rows // 10
